@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: list[str] = []
+_SHIPPED: set[str] = set()
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A local session with the settings that tests and the bench share."""
@@ -36,3 +42,30 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage by a reliable checkpoint, which outlives any executor."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but a compressed table in the shared folder; ``forget_stored`` removes these."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def forget_stored(spark: SparkSession) -> None:
+    """Delete the tables that ``stored`` wrote in this session; call it when results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _STORED:
+        path = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    if spark.sparkContext.applicationId not in _SHIPPED:
+        _SHIPPED.add(spark.sparkContext.applicationId)
+        root = Path(__file__).resolve().parent
+        zipped = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{root.name}", "zip", root.parent, root.name)
+        spark.sparkContext.addPyFile(zipped)
