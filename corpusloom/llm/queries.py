@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, components, conversations
+from corpusloom.llm import bpe, components, conversations, knn
 from corpusloom.tables import table
 
 
+def p1_found(spark, d):
+    return knn.near_pairs(table(spark, d, "chunks"))
+
+
+def p1_neighbours(spark, d):
+    found = knn.neighbours(table(spark, d, "chunks"))
+    ranked = F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("far"), "neighbour")))
+    return found.groupBy("id").agg(F.transform(ranked, lambda x: x["neighbour"]).alias("neighbours"))
+
+
 def p2_found(spark, d):
     return components.redirect_groups(table(spark, d, "entity_registry"))
 
@@ -37,7 +47,7 @@ def p6_token_counts(spark, d):
     return ids.select(F.explode("ids").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p6_ids, p6_token_counts)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p6_ids, p6_token_counts)}
 
 _GROUPS = """
 WITH RECURSIVE cur AS (
