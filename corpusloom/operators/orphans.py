@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.operators.skew import SALTS, hot_keys, salt_of
-from corpusloom.session import cut
+from corpusloom.session import stored
 
 BITS = 32768  # of one bitmap_construct_agg bitmap
 SPARSE = 2048  # up to so many set bits a container holds 16-bit positions, else the bitmap itself
@@ -59,10 +59,20 @@ def resolve_ref(ref: Column, from_path: Column, brain_id: Column) -> Column:
     return F.when(clean.endswith(".md"), clean).otherwise(F.concat(clean, F.lit(".md")))
 
 
+def _short(id_: Column) -> Column:
+    """An id as bytes: a hash in lower-case hex takes half the room on its way through shuffles."""
+    return F.when(id_.rlike("^([0-9a-f]{2})+$"), F.concat(F.lit(b"h"), F.unhex(id_))).otherwise(F.concat(F.lit(b"t"), F.encode(id_, "utf-8")))
+
+
+def _long(short: Column) -> Column:
+    body = F.substring(short, 2, 1_000_000)
+    return F.when(F.substring(short, 1, 1) == F.lit(b"h"), F.lower(F.hex(body))).otherwise(F.decode(body, "utf-8"))
+
+
 def page_references(links: DataFrame) -> DataFrame:
-    """(id, side, path, synced_at): the page references of every link, ids once with their earliest synced_at."""
+    """(id, side, path, synced_at): the page references of every link, ids (as bytes) once with their earliest synced_at."""
     to = F.when(is_page_ref(F.col("to_ref")), resolve_ref(F.col("to_ref"), F.col("from_path"), F.col("brain_id")))
-    first = links.select("id", F.struct("synced_at", F.col("from_path").alias("from"), to.alias("to")).alias("_r"))
+    first = links.select(_short(F.col("id")).alias("id"), F.struct("synced_at", F.col("from_path").alias("from"), to.alias("to")).alias("_r"))
     one = first.groupBy("id").agg(F.min("_r").alias("_r"))
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col("_r")[s].alias("path")) for s in ("from", "to")]))
     return one.select("id", F.col("_r.synced_at").alias("synced_at"), sides.alias("_s")).select("id", "synced_at", "_s.side", "_s.path").where(F.col("path").isNotNull())
@@ -80,7 +90,7 @@ def key_dictionary(refs: DataFrame, pages: DataFrame) -> DataFrame:
     keys = seen.unionByName(asked).groupBy("path").agg(
         (F.min("_ref") == 0).alias("exists"), F.coalesce(F.max("_v")["status"] == "archived", F.lit(False)).alias("archived"), F.min("updated_at").alias("first_at"), F.sum("_ref").alias("n")
     )
-    return cut(keys.sortWithinPartitions("path").withColumn("kid", F.monotonically_increasing_id()))
+    return stored(keys.sortWithinPartitions("path").withColumn("kid", F.monotonically_increasing_id()))
 
 
 @F.pandas_udf(T.BinaryType())
@@ -139,11 +149,11 @@ def _and_not(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def orphan_references(links: DataFrame, pages: DataFrame) -> DataFrame:
     """(id, side, kind, synced_at): kind is missing, deleted or late; see the module."""
-    refs = page_references(links)
+    refs = stored(page_references(links))
     keys = key_dictionary(refs, pages)
     hot = hot_keys(keys, "path", "n")
     paths = keys.withColumn("_salt", F.explode(F.when(F.col("path").isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))) if hot else keys.withColumn("_salt", F.lit(0))
-    coded = cut(
+    coded = stored(
         refs.withColumn("_salt", salt_of("path", F.col("id"), hot))
         .join(paths.select("path", "_salt", "kid", "first_at"), ["path", "_salt"])
         .select("id", "side", "synced_at", "kid", "_salt", F.coalesce(_month(F.col("synced_at")), F.lit(-1)).alias("month"), "first_at")
@@ -161,7 +171,7 @@ def orphan_references(links: DataFrame, pages: DataFrame) -> DataFrame:
     left = left.withColumn("_salt", F.explode(F.when(F.col("kid").isin(hot_ids), salts).otherwise(F.array(zero)) if hot else F.array(zero)))
     found = coded.join(left, ["kid", "month", "_salt"])
     # within one month the bitmaps can't tell which came first
-    return found.where((F.col("kind") != "late") | (F.col("first_at") > F.col("synced_at"))).select("id", "side", "kind", "synced_at")
+    return found.where((F.col("kind") != "late") | (F.col("first_at") > F.col("synced_at"))).select(_long(F.col("id")).alias("id"), "side", "kind", "synced_at")
 
 
 def orphan_report(links: DataFrame, pages: DataFrame) -> DataFrame:
