@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, components, conversations, knn
+from corpusloom.llm import bpe, components, conversations, knn, leakage
 from corpusloom.tables import table
 
 
@@ -47,7 +47,19 @@ def p6_token_counts(spark, d):
     return ids.select(F.explode("ids").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p6_ids, p6_token_counts)}
+def p7_found(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_items(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_reparameterised(spark, d):
+    return leakage.reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p6_ids, p6_token_counts, p7_found, p7_items, p7_reparameterised)}
 
 _GROUPS = """
 WITH RECURSIVE cur AS (
