@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import bpe, components, conversations, knn, leakage
+from corpusloom.llm import abuse, bpe, components, conversations, knn, leakage
 from corpusloom.tables import table
 
 
@@ -59,7 +59,23 @@ def p7_reparameterised(spark, d):
     return leakage.reparameterised(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p6_ids, p6_token_counts, p7_found, p7_items, p7_reparameterised)}
+def _abuse(spark, d):
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
+
+
+def p8_found(spark, d):
+    return _abuse(spark, d).where("flagged").select("doc_id")
+
+
+def p8_scores(spark, d):
+    return _abuse(spark, d).select("doc_id", "score", "flagged")
+
+
+def p8_rates(spark, d):
+    return abuse.rates(_abuse(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p6_ids, p6_token_counts, p7_found, p7_items, p7_reparameterised, p8_found, p8_scores, p8_rates)}
 
 _GROUPS = """
 WITH RECURSIVE cur AS (
