@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusloom.llm import abuse, bpe, components, conversations, knn, leakage
+from corpusloom.llm import abuse, bpe, components, conversations, knn, leakage, names
 from corpusloom.tables import table
 
 
@@ -38,6 +38,16 @@ def p3_gaps(spark, d):
     return conversations.calibrated_gap(table(spark, d, "turns"))
 
 
+def p4_found(spark, d):
+    return names.variant_pairs(table(spark, d, "entity_registry"))
+
+
+def p4_clusters(spark, d):
+    c = names.clustered_names(table(spark, d, "entity_registry"))
+    least = c.groupBy("brain_id", "entity").agg(F.min("slug").alias("entity_slug"), F.count(F.lit(1)).alias("n_records"))
+    return c.join(least, ["brain_id", "entity"]).select("brain_id", "slug", "entity_slug", "n_records")
+
+
 def p6_ids(spark, d):
     return bpe.encode(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -75,7 +85,7 @@ def p8_rates(spark, d):
     return abuse.rates(_abuse(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p6_ids, p6_token_counts, p7_found, p7_items, p7_reparameterised, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_neighbours, p2_found, p2_records, p3_found, p3_conversations, p3_gaps, p4_found, p4_clusters, p6_ids, p6_token_counts, p7_found, p7_items, p7_reparameterised, p8_found, p8_scores, p8_rates)}
 
 _GROUPS = """
 WITH RECURSIVE cur AS (
