@@ -1,8 +1,8 @@
 """Named queries over the given tables, each with the SQL that says the same where SQL can."""
 
-from corpusloom.queries import references
+from corpusloom.queries import references, texts
 
-MODULES = [references]
+MODULES = [references, texts]
 
 
 def all_queries() -> dict:
