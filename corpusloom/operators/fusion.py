@@ -32,7 +32,7 @@ class Options:
 
 def rrf(arms: DataFrame, k: int = RRF_K) -> DataFrame:
     """(arm, path, rank, rrf) from (arm, path, score): 1 / (k + rank), the best place of a path in an arm."""
-    rank = F.row_number().over(Window.partitionBy("arm").orderBy(F.desc("score"), "path"))
+    rank = F.row_number().over(Window.partitionBy("arm").orderBy(F.desc(F.round("score", 9)), "path"))
     return arms.withColumn("rank", rank).groupBy("arm", "path").agg(F.min("rank").alias("rank")).withColumn("rrf", 1.0 / (k + F.col("rank")))
 
 

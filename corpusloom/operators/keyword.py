@@ -16,6 +16,11 @@ ZETA_2 = 1.64493406685
 RRF_K = 60
 
 
+def best_first(score: str) -> Column:
+    """Descending order in which scores that differ by rounding only are ties, which the path then decides."""
+    return F.desc(F.round(score, 9))
+
+
 def query_words(query: str) -> list[str]:
     import re
 
@@ -45,11 +50,15 @@ def word_rank(words: Column, terms: list[str]) -> Column:
     missed = F.lit(1.0)
     for i, a in enumerate(at):
         for b in at[i + 1 :]:
-            inner = lambda p, b=b: F.aggregate(b, F.lit(1.0), lambda m, q: m * (1 - _closeness(F.abs(p - q))))
-            missed = missed * F.aggregate(a, F.lit(1.0), lambda m, p, inner=inner: m * inner(p))
+            missed = missed * _apart(a, b)
     return 1 - missed
 
 
+def _apart(a: Column, b: Column) -> Column:
+    """The product of 1 - closeness over all pairs of places of two arrays."""
+    return F.aggregate(a, F.lit(1.0), lambda m, p: m * F.aggregate(b, F.lit(1.0), lambda n, q: n * (1 - _closeness(F.abs(p - q)))))
+
+
 def _closeness(distance: Column) -> Column:
     wd = F.when(distance > 100, F.lit(1e-30)).otherwise(1 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2)))
     return F.sqrt(F.lit(LABEL_D * LABEL_D) * wd)
@@ -94,7 +103,7 @@ def keyword_scores(pages: DataFrame, query: str) -> DataFrame:
 
 def keyword_search(pages: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """(path, title, score, evidence, snippet): the best ``limit`` pages; ties by path."""
-    best = keyword_scores(pages, query).orderBy(F.desc("score"), "path").limit(limit)
+    best = keyword_scores(pages, query).orderBy(best_first("score"), "path").limit(limit)
     text = pages.select("path", T.snippet(F.coalesce(F.get_json_object("frontmatter_json", "$.abstract"), "body_text"), query.strip()).alias("snippet"))
     return text.join(F.broadcast(best), "path").select("path", "title", "score", "evidence", "snippet")
 
@@ -115,7 +124,7 @@ def indexed_search(postings: DataFrame, query: str, limit: int = 10, brain_id: s
             "t", F.lit(1.0), lambda m, x: m * F.aggregate(F.filter("t", lambda y: y["term"] > x["term"]), F.lit(1.0), lambda n, y: n * F.aggregate(x["positions"], F.lit(1.0), lambda o, a: o * F.aggregate(y["positions"], F.lit(1.0), lambda r, b: r * (1 - _closeness(F.abs(a - b))))))
         )
         scored = g.select("path", (weight * (1 - pairs)).alias("s"))
-    return scored.groupBy("path").agg(F.sum("s").alias("score")).where("score > 0").orderBy(F.desc("score"), "path").limit(limit)
+    return scored.groupBy("path").agg(F.sum("s").alias("score")).where("score > 0").orderBy(best_first("score"), "path").limit(limit)
 
 
 #: Words that a question is made of.

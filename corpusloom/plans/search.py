@@ -23,7 +23,7 @@ def intent_of(question: str) -> str:
 def arms(pages: DataFrame, query: str, limit: int, chunks: DataFrame | None = None, vector: list[float] | None = None, links: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
     """(arm, path, score): the best 3 x limit of each arm that has what it needs."""
     k = 3 * limit
-    out = keyword_scores(pages, query).orderBy(F.desc("score"), "path").limit(k).select(F.lit("keyword").alias("arm"), "path", "score")
+    out = keyword_scores(pages, query).orderBy(F.desc(F.round("score", 9)), "path").limit(k).select(F.lit("keyword").alias("arm"), "path", "score")
     if chunks is not None and vector is not None:
         out = out.unionByName(vector_search(chunks, vector, k, pages).select(F.lit("semantic").alias("arm"), "path", "score"))
     if links is not None and start is not None:
@@ -56,5 +56,5 @@ def hybrid_search(
 
 def think(hits: DataFrame) -> DataFrame:
     """(bucket, n, paths): hits as skills, experiences and notes, the best first."""
-    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "path"))), lambda x: x["path"])
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "path"))), lambda x: x["path"])
     return hits.groupBy(T.bucket(F.col("path")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), ranked.alias("paths"))
