@@ -15,7 +15,7 @@ WORD_GAP = r"[^\p{L}\p{N}]+"
 
 def collapsed(text: Column) -> Column:
     """White space runs as one blank, trimmed."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
 
 
 def words(text: Column) -> Column:

@@ -46,7 +46,7 @@ def contradicting_numbers(pages: DataFrame) -> DataFrame:
 
 def exact_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n): every document with the least id of those that have the same normalised text; empty ones stay alone."""
-    h = F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.md5(F.lower(T.collapsed(F.col(text)))))
+    h = F.when(F.coalesce(T.collapsed(F.col(text)), F.lit("")) == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.md5(F.lower(T.collapsed(F.col(text)))))
     d = documents.select(key, h.alias("_h"))
     g = d.groupBy("_h").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("n"))
     return d.join(g, "_h").select(key, "class_id", "n")

@@ -81,7 +81,7 @@ def without_repeats(events: DataFrame, key: list[str], at: str = "ts", seconds:
     """Events whose key did not come within the ``seconds`` before."""
     w = Window.partitionBy(*key).orderBy(at, *[c for c in ("event_id",) if c in events.columns])
     before = F.lag(at).over(w)
-    return events.withColumn("_b", before).where(F.col("_b").isNull() | (F.unix_micros(at) - F.unix_micros("_b") > seconds * 1_000_000)).drop("_b")
+    return events.withColumn("_b", before).where(F.col("_b").isNull() | (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("_b").cast("timestamp")) > seconds * 1_000_000)).drop("_b")
 
 
 def latest_status(rows: DataFrame, key: str = "session_id", status: str = "status", at: str = "created_at") -> DataFrame:

@@ -1,8 +1,8 @@
 """Named queries over the given tables, each with the SQL that says the same where SQL can."""
 
-from corpusloom.queries import references, searches, texts
+from corpusloom.queries import activity, references, searches, texts
 
-MODULES = [references, searches, texts]
+MODULES = [activity, references, searches, texts]
 
 
 def all_queries() -> dict:

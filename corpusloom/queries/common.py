@@ -31,7 +31,7 @@ RECORDS = f"""r0 AS (SELECT * REPLACE (lower(trim(status)) AS status, lower(trim
   QUALIFY row_number() OVER (PARTITION BY brain_id, slug ORDER BY {_DESC}) = 1),
 rec AS (SELECT * REPLACE (CASE WHEN status = 'merged' AND coalesce(canonical_slug, '') <> '' THEN canonical_slug ELSE slug END AS canonical_slug) FROM r0)"""
 #: White space runs of text column {0} as one blank, trimmed.
-FLAT = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+FLAT = r"trim(regexp_replace({0}, '[\s\p{{Z}}]+', ' ', 'g'))"
 WORDS = r"list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 PARENT = "regexp_replace({0}, '/[^/]*$', '')"
 BASE = r"regexp_replace(regexp_replace({0}, '^.*/', ''), '\.md$', '')"

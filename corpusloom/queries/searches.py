@@ -206,7 +206,7 @@ SQL = {
     "kw_search_all": f"WITH {PAGES}, {_keyword('ap', QUERY)} SELECT path, round(score, 6) AS score FROM kw",
     "kw_search_zh": f"WITH {PAGES}, {_keyword('ap', '重试队列')} SELECT path, round(score, 6) AS score FROM kw",
     "kw_search_topk": rf"""WITH {PAGES}, {_keyword('ap', QUERY)}, top AS (SELECT * FROM kw ORDER BY round(score, 9) DESC, path LIMIT 10),
-f AS (SELECT top.*, trim(regexp_replace(coalesce(json_extract_string(ap.frontmatter_json, '$.abstract'), ap.body_text), '\s+', ' ', 'g')) AS f FROM top JOIN ap USING (path)),
+f AS (SELECT top.*, trim(regexp_replace(coalesce(json_extract_string(ap.frontmatter_json, '$.abstract'), ap.body_text), '[\s\p{{Z}}]+', ' ', 'g')) AS f FROM top JOIN ap USING (path)),
 n AS (SELECT *, CASE WHEN instr(lower(f), '{QUERY}') > 40 THEN instr(lower(f), '{QUERY}') - 40 ELSE 1 END AS a FROM f)
 SELECT path, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN t + b + tn + bn > 0 THEN 'keyword' END, CASE WHEN it THEN 'title' END, CASE WHEN ip THEN 'path' END, CASE WHEN ia THEN 'alias' END], lambda x: x IS NOT NULL), ',') AS evidence, {_SNIP} AS snippet FROM n""",
     "kw_filters": f"""WITH {PAGES}, fp AS (SELECT * FROM ap WHERE brain_id = 'default' AND schema_type NOT IN ('lesson') AND NOT ends_with(path, '.overview.md') AND NOT ends_with(path, '.abstract.md')

@@ -148,7 +148,7 @@ SELECT array_to_string(s[1:i], '/') AS dir, count(*) AS n_pages, count(DISTINCT
   UNION ALL SELECT 'no type', path FROM cp WHERE schema_type IS NULL UNION ALL SELECT 'no source', path FROM cp WHERE source_id IS NULL
   UNION ALL SELECT 'wrong brain', path FROM cp WHERE NOT starts_with(path, 'brains/' || brain_id || '/'))
 SELECT issue, count(*) AS n, min(path) AS first_path FROM f GROUP BY 1""",
-    "exact_copies": f"""WITH h AS (SELECT doc_id, CASE WHEN trim(coalesce(text, '')) = '' THEN '#' || doc_id ELSE md5(lower({FLAT.format('text')})) END AS h FROM documents)
+    "exact_copies": f"""WITH h AS (SELECT doc_id, CASE WHEN coalesce({FLAT.format('text')}, '') = '' THEN '#' || doc_id ELSE md5(lower({FLAT.format('text')})) END AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS n FROM h""",
     "page_facts": f"WITH {_FACTS} SELECT path, count(*) AS n_facts, min(t) AS least FROM (SELECT path, unnest(fs) AS t FROM f) GROUP BY 1",
     "repeated_facts": f"WITH {_FACTS} SELECT lower({FLAT.format('t')}) AS key, count(DISTINCT path) AS n_pages, min(path) AS least_path FROM (SELECT path, unnest(fs) AS t FROM f) GROUP BY 1 HAVING count(DISTINCT path) > 1",
