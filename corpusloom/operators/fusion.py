@@ -96,7 +96,7 @@ def diversified(hits: DataFrame) -> DataFrame:
 
 def hotness(age_days: Column, half_life: float = 30.0) -> Column:
     """1 now, half after ``half_life`` days; .5 if the age isn't known."""
-    return F.coalesce(F.exp(-F.log(F.lit(2.0)) * F.greatest(F.lit(0.0), age_days) / half_life), F.lit(0.5))
+    return F.when(age_days.isNull(), 0.5).otherwise(F.exp(-F.log(F.lit(2.0)) * F.greatest(F.lit(0.0), age_days) / half_life))
 
 
 def heated(hits: DataFrame, now: str, opts: Options = Options()) -> DataFrame:

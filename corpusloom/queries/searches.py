@@ -242,7 +242,7 @@ SELECT path, round(score * CASE WHEN d >= 2 THEN CAST(1.05 AS DOUBLE) ELSE 1 END
 x AS (SELECT n.path, count(DISTINCT l.source) AS k, count(DISTINCT {PREFIX.format('l.from_path')}) AS p FROM l JOIN n ON l.to_ref = n.r GROUP BY 1)
 SELECT path, round(score * CASE WHEN k >= 2 OR p >= 2 THEN CAST(1.1 AS DOUBLE) ELSE 1 END, 6) AS score FROM h LEFT JOIN x USING (path)""",
     "diversify": f"""WITH {_HITS} SELECT path, round(score * CASE WHEN row_number() OVER (PARTITION BY {PREFIX.format('path')} ORDER BY score DESC, path) > 1 THEN CAST(0.95 AS DOUBLE) ELSE 1 END, 6) AS score FROM h""",
-    "hotness": f"""WITH {_HITS} SELECT path, round(score * (1 + CAST(0.15 AS DOUBLE) * coalesce(exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{NOW}') - floor(epoch(updated_at))) / 86400.0) / 30), CAST(0.5 AS DOUBLE))), 6) AS score FROM h""",
+    "hotness": f"""WITH {_HITS} SELECT path, round(score * (1 + CAST(0.15 AS DOUBLE) * CASE WHEN updated_at IS NULL THEN CAST(0.5 AS DOUBLE) ELSE exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{NOW}') - floor(epoch(updated_at))) / 86400.0) / 30) END), 6) AS score FROM h""",
     "directory_order": f"WITH {_HITS} SELECT regexp_replace(path, '/[^/]*$', '') AS dir, round(sum(score), 4) AS dir_score, count(*) AS n FROM h GROUP BY 1",
     "local_rerank": f"WITH {PAGES} SELECT path, CAST({_rerank(QUERY)} AS DOUBLE) AS score FROM ap",
     "entity_boost": rf"""WITH {RECORDS}, nm AS (SELECT brain_id, lower(trim(x)) AS name, min(slug) AS slug FROM (
