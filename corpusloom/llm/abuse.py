@@ -206,14 +206,15 @@ def learn(texts: list[str], bad: np.ndarray) -> tuple[np.ndarray, float, float]:
     if bad.all() or not bad.any():
         return np.zeros(BUCKETS, np.float32), -30.0, 0.0
     f = Fit(texts, bad)
-    held = np.arange(f.n) % 4 == 3 if min(bad.sum(), (~bad).sum()) >= 8 else np.ones(f.n, bool)
+    held = np.where(bad, np.cumsum(bad), np.cumsum(~bad)) % 4 == 0 if min(bad.sum(), (~bad).sum()) >= 8 else np.ones(f.n, bool)
     w, bias = f.fit(~held if not held.all() else held)
     top, y = f.worst(f.scores(w, bias))[0][held], bad[held]
     o = np.argsort(-top, kind="stable")
     hit = np.cumsum(y[o])
     f1 = 2 * hit / (np.arange(1, len(o) + 1) + max(1, y.sum()))
     good = np.flatnonzero(f1 >= f1.max() - 0.005)  # the middle of the plateau
-    return w.astype(np.float32), bias, float((top[o[good[0]]] + top[o[good[-1]]]) / 2)
+    below = top[o[min(good[-1] + 1, len(o) - 1)]]  # what the last place of the plateau leaves out
+    return w.astype(np.float32), bias, float((top[o[good[0]]] + below) / 2)
 
 
 def judge(texts: list[str | None], w: np.ndarray, bias: float) -> np.ndarray:

@@ -47,6 +47,7 @@ def instant_of(at: Column) -> Column:
     body = F.when(zone != "", F.regexp_replace(t, ZONE, "")).otherwise(t)
     body = F.trim(F.translate(body, "/", "-"))
     zone = F.when((zone == "") | (zone == "Z"), F.lit("+00:00")).otherwise(F.regexp_replace(zone, r"^([+-])(\d{1,2}):?(\d{2})$", "$1$2:$3"))
+    body = F.when(body.contains(":"), body).otherwise(F.concat(body, F.lit(" 00:00:00")))
     read = F.when(body.rlike(STAMP), F.concat(F.regexp_replace(body, ",", "."), zone).try_cast("timestamp"))
     return F.coalesce(digits, F.unix_micros(read))
 
