@@ -32,10 +32,10 @@ SHARD_ROWS = 3000
 CELLS = 65_536
 SAMPLE_ROWS = 250_000
 SAMPLE_PER_CELL = 200
-PROBES = 3
+PROBES = 4
 #: A cell is probed if its centre's similarity is within this of the nearest one's.
-MARGIN = 0.05
-DEGREE, BEAM, SEARCH_BEAM = 16, 32, 16
+MARGIN = 0.08
+DEGREE, BEAM, SEARCH_BEAM = 20, 40, 20
 #: Vectors that at least this share of all rows (and COPY_ROWS rows) hold are kept out of the index but for k + 1 copies.
 COPY_SHARE, COPY_ROWS = 1 / 2000, 2000
 
@@ -219,7 +219,9 @@ def neighbours(chunks: DataFrame, k: int = K, least: float = -1.0, id_col: str =
         return pa.table({"id": pa.array(a, pa.string()), "neighbour": pa.array(b, pa.string()), "similarity": pa.array(s, pa.float32())})
 
     routed = chunks.mapInArrow(route, "cell int, id string, v binary, member boolean")
-    found = routed.groupBy("cell").applyInArrow(shard, out)
+    # a few cells a task, whatever the size of the data
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-cells // 4))
+    found = routed.repartition(parts, "cell").groupBy("cell").applyInArrow(shard, out)
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     found = found.dropDuplicates(["id", "neighbour"]).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
     return found if extra is None else found.unionByName(extra)
