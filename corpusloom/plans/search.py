@@ -1,4 +1,4 @@
-"""The whole search: three arms, fusion, signals, top-k. One lazy plan; nothing is collected but the query's own vector."""
+"""The whole search: three arms, fusion, signals, top-k. Nothing is collected but the query's own vector."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from corpusloom.operators import fusion as X
 from corpusloom.operators.graph import graph_search, parse_relation
 from corpusloom.operators.keyword import keyword_scores
 from corpusloom.operators.semantic import vector_search
+from corpusloom.session import cut
 
 
 def intent_of(question: str) -> str:
@@ -42,10 +43,13 @@ def hybrid_search(
     """
     a = arms(pages, query, opts.limit, chunks, vector, links, start)
     boosts = pages.select("path", X.title_path_boost(F.col("title"), F.col("path"), query).alias("title_path")).where("title_path > 0")
+    # at most 9 x limit rows from here on, read by every signal: the arms run once
+    a = cut(a)
     hits = X.fused(a, boosts, intent_of(query), vector is not None, opts)
     if vector is not None:
         cos = a.where("arm = 'semantic'").select("path", F.col("score").alias("cos"))
         hits = X.cosine_rescored(hits.join(cos, "path", "left"), opts.cosine_share).drop("cos")
+    hits = cut(hits)
     if links is not None:
         hits = X.cross_source_signal(X.hub_signal(hits, links), links)
     hits = X.diversified(hits)

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import distillation, indexing, records, sessions, statistics
-from corpusloom.queries.common import PAGES, RECORDS, active, pages
+from corpusloom.queries.common import PAGES, RECORDS, WORDS, active, pages
 from corpusloom.queries.common import records as current
+from corpusloom.queries.searches import _keyword
 from corpusloom.streaming import streams
 from corpusloom.tables import table
 
@@ -205,6 +206,11 @@ SELECT turn_id, session_id, turn FROM w WHERE NOT coalesce(k, false) OR s <= 800
     "clean_turns": f"""WITH t AS (SELECT turn_id, role, regexp_replace(text, '{_MEMO}', '', 'gis') AS t FROM turns) SELECT turn_id, md5(coalesce(CASE WHEN lower(trim(role)) = 'tool' THEN substr(t, 1, 2000) ELSE t END, '')) AS text_md5 FROM t""",
     "latest_status": "SELECT session_id, arg_max(status, created_at) AS status, max(created_at) AS created_at FROM inbox_meta GROUP BY 1",
     "gate_scores": f"SELECT turn_id, CAST({_GATE} AS INTEGER) AS score FROM turns",
+    "recall_gate": rf"""WITH {_T}, u AS (SELECT turn_id, text, list_distinct({WORDS.format('text')}) AS w, lag(list_distinct({WORDS.format('text')})) OVER (PARTITION BY session_id ORDER BY turn, turn_id) AS p FROM c WHERE lower(trim(role)) = 'user'),
+s AS (SELECT text, {_GATE} - CASE WHEN len(list_distinct(list_concat(w, p))) > 0 AND len(list_intersect(w, p)) / CAST(len(list_distinct(list_concat(w, p))) AS DOUBLE) >= 0.5 AND p IS NOT NULL AND w IS NOT NULL THEN 3 ELSE 0 END AS score FROM u)
+SELECT CAST(score AS INTEGER) AS score, coalesce(score >= 3 AND length(trim(text)) >= 4, false) AS asks, count(*) AS n FROM s GROUP BY 1, 2""",
+    "evidence_counts": f"""WITH {PAGES}, {_keyword('ap', 'notes')}, e AS (SELECT unnest(list_filter([CASE WHEN t + b + tn + bn > 0 THEN 'keyword' END, CASE WHEN it THEN 'title' END, CASE WHEN ip THEN 'path' END, CASE WHEN ia THEN 'alias' END], lambda x: x IS NOT NULL)) AS tag FROM kw)
+SELECT tag, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM kw) AS DOUBLE), 6) AS share FROM e GROUP BY 1""",
     "repeats_dropped": """WITH b AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id FROM b WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 7200000000""",
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "event_list": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 50",

@@ -8,6 +8,7 @@ from corpusloom.functions import vector as V
 from corpusloom.operators import fusion as X
 from corpusloom.operators import graph, indexing, keyword, semantic
 from corpusloom.plans import search
+from corpusloom.session import stored
 from corpusloom.queries.common import BASE, NOW, PAGES, PREFIX, RECORDS, WORDS, active, pages, records
 from corpusloom.tables import table
 
@@ -37,7 +38,7 @@ def indexed_search(spark, d):
 
 
 def expanded_search(spark, d):
-    p, parts = active(spark, d), []
+    p, parts = stored(active(spark, d)), []
     for i, q in enumerate(keyword.expanded("why is the retry queue slow")):
         parts.append(keyword.keyword_scores(p, q).select(F.lit(i).alias("group"), "path", "score").orderBy(keyword.best_first("score"), "path").limit(30))
     every = parts[0]
@@ -71,7 +72,7 @@ def label_search(spark, d):
 
 
 def _start(spark, d) -> DataFrame:
-    return graph.seeds(records(spark, d), table(spark, d, "links"), "what about Oona Peldosen, Kallavas, Norvidan, Corvagard and the link extractor")
+    return graph.seeds(records(spark, d), table(spark, d, "links"), _QUESTION)
 
 
 def graph_bfs(spark, d):
@@ -141,7 +142,7 @@ def entity_boost(spark, d):
 
 
 def hybrid_search(spark, d):
-    p = active(spark, d)
+    p = stored(active(spark, d))  # five readers: written once, as an index would be
     h = search.hybrid_search(p, QUERY, NOW, chunks=table(spark, d, "chunks"), vector=_vector(spark, d), links=table(spark, d, "links"), start=_start(spark, d))
     return h.select("path", F.round("score", 6).alias("score"), F.round("keyword", 6).alias("keyword"), F.round("semantic", 6).alias("semantic"), F.round("graph", 6).alias("graph"), F.array_join("evidence", ",").alias("evidence"))
 
@@ -202,7 +203,39 @@ def _rerank(q: str) -> str:
     return _RERANK.format(q=q, g=" + ".join(f"CASE WHEN contains(lower(coalesce(body_text, '')), '{x}') THEN 0.5 ELSE 0 END" for x in keyword.query_bigrams(q)))
 
 
+def _expanded() -> str:
+    forms = keyword.expanded("why is the retry queue slow")
+    parts = ", ".join(_keyword("ap", q, f"k{i}_", f"x{i}") for i, q in enumerate(forms))
+    ranks = " UNION ALL ".join(f"SELECT path, row_number() OVER (ORDER BY score DESC, path) AS r FROM (SELECT path, score FROM k{i}_ ORDER BY round(score, 9) DESC, path LIMIT 30)" for i in range(len(forms)))
+    return f"WITH {PAGES}, {parts}, u AS ({ranks}) SELECT path, round(sum(1 / CAST(60 + r AS DOUBLE)), 6) AS rrf FROM u GROUP BY 1"
+
+
+_QUESTION = "what about Oona Peldosen, Kallavas, Norvidan, Corvagard and the link extractor"
+_NEEDLE = r"CASE WHEN regexp_matches(n, '\p{Han}') THEN length(n) >= 2 AND contains(q, n) ELSE length(n) >= 3 AND contains(qw, ' ' || array_to_string(list_filter(regexp_split_to_array(n, '[^\p{L}\p{N}]+'), lambda w: w <> ''), ' ') || ' ') END"
+_SEEDS = f"""qq AS (SELECT lower('{_QUESTION}') AS q, ' ' || array_to_string({WORDS.format(f"'{_QUESTION}'")}, ' ') || ' ' AS qw),
+cand AS (SELECT DISTINCT slug AS ref, lower(trim(x)) AS n FROM (SELECT slug, unnest([slug, title]) AS x FROM rec WHERE status = 'active') UNION SELECT DISTINCT to_ref, lower(trim(to_ref)) FROM links WHERE to_ref IS NOT NULL AND NOT contains(to_ref, '/')),
+seed AS (SELECT DISTINCT ref FROM cand, qq WHERE {_NEEDLE} ORDER BY ref LIMIT 8)"""
+_HYBRID = f"""WITH {PAGES}, {RECORDS}, {_keyword('ap', QUERY)}, {_Q}, {_SEEDS},
+e AS (SELECT from_path AS a, to_ref AS b FROM links WHERE from_path IS NOT NULL AND to_ref IS NOT NULL UNION SELECT to_ref, from_path FROM links WHERE from_path IS NOT NULL AND to_ref IS NOT NULL),
+n1 AS (SELECT DISTINCT b AS node FROM e WHERE a IN (SELECT ref FROM seed) AND b NOT IN (SELECT ref FROM seed)), n2 AS (SELECT DISTINCT b AS node FROM e WHERE a IN (SELECT node FROM n1) AND b NOT IN (SELECT ref FROM seed) AND b NOT IN (SELECT node FROM n1)),
+near AS (SELECT node AS path, 1 AS depth FROM n1 UNION ALL SELECT node, 2 FROM n2),
+arm AS (SELECT 'keyword' AS arm, path, row_number() OVER (ORDER BY round(score, 9) DESC, path) AS r, NULL AS c FROM kw QUALIFY r <= 30
+  UNION ALL SELECT 'semantic', path, row_number() OVER (ORDER BY max(c) DESC, path) AS r, max(c) FROM s WHERE path IN (SELECT path FROM ap) GROUP BY path QUALIFY r <= 30
+  UNION ALL SELECT 'graph', path, row_number() OVER (ORDER BY depth, path) AS r, NULL FROM near WHERE path IN (SELECT path FROM ap) QUALIFY r <= 30),
+w AS (SELECT path, coalesce(max(61 / CAST(60 + r AS DOUBLE)) FILTER (arm = 'keyword' AND r <= 27), 0) AS k, coalesce(max(61 / CAST(60 + r AS DOUBLE)) FILTER (arm = 'semantic' AND r <= 27), 0) AS m,
+  coalesce(max(61 / CAST(60 + r AS DOUBLE)) FILTER (arm = 'graph' AND r <= 27), 0) AS g, array_to_string(list_sort(list(DISTINCT arm)), ',') AS evidence, max(c) AS cos FROM arm GROUP BY 1),
+f AS (SELECT w.*, 0.35::DOUBLE * k + 0.35::DOUBLE * m + 0.15::DOUBLE * g + 0.1::DOUBLE * (CASE WHEN contains(lower(coalesce(title, '')), '{QUERY}') THEN 0.7::DOUBLE ELSE 0 END + CASE WHEN contains(lower(path), '{QUERY}') THEN 0.3::DOUBLE ELSE 0 END) AS s, updated_at FROM w JOIN ap USING (path)),
+h AS (SELECT *, 0.7::DOUBLE * s + 0.3::DOUBLE * greatest(0, coalesce(cos, 0)) AS s1 FROM f WHERE s >= 0.05),
+hi AS (SELECT from_path, to_ref FROM links WHERE from_path IN (SELECT path FROM h) AND to_ref IN (SELECT path FROM h)), hd AS (SELECT path, count(*) AS d FROM (SELECT from_path AS path FROM hi UNION ALL SELECT to_ref FROM hi) GROUP BY 1),
+hn AS (SELECT path, path AS ref FROM h UNION ALL SELECT path, {BASE.format('path')} FROM h), hx AS (SELECT hn.path, count(DISTINCT l.source) AS k, count(DISTINCT {PREFIX.format('l.from_path')}) AS p FROM links l JOIN hn ON l.to_ref = hn.ref GROUP BY 1),
+h2 AS (SELECT h.*, s1 * CASE WHEN d >= 2 THEN 1.05::DOUBLE ELSE 1 END * CASE WHEN hx.k >= 2 OR hx.p >= 2 THEN 1.1::DOUBLE ELSE 1 END AS s2 FROM h LEFT JOIN hd USING (path) LEFT JOIN hx USING (path)),
+h3 AS (SELECT *, s2 * CASE WHEN row_number() OVER (PARTITION BY {PREFIX.format('path')} ORDER BY s2 DESC, path) > 1 THEN 0.95::DOUBLE ELSE 1 END AS s3 FROM h2),
+h4 AS (SELECT *, s3 * (1 + 0.15::DOUBLE * CASE WHEN updated_at IS NULL THEN 0.5::DOUBLE ELSE exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{NOW}') - floor(epoch(updated_at))) / 86400.0) / 30) END) AS score FROM h3)
+SELECT path, round(score, 6) AS score, round(k, 6) AS keyword, round(m, 6) AS semantic, round(g, 6) AS graph, evidence FROM h4 ORDER BY score DESC, path LIMIT 10"""
+
 SQL = {
+    "expanded_search": _expanded(),
+    "hybrid_search": _HYBRID,
     "kw_search_all": f"WITH {PAGES}, {_keyword('ap', QUERY)} SELECT path, round(score, 6) AS score FROM kw",
     "kw_search_zh": f"WITH {PAGES}, {_keyword('ap', '重试队列')} SELECT path, round(score, 6) AS score FROM kw",
     "kw_search_topk": rf"""WITH {PAGES}, {_keyword('ap', QUERY)}, top AS (SELECT * FROM kw ORDER BY round(score, 9) DESC, path LIMIT 10),

@@ -139,6 +139,25 @@ SELECT term, count(DISTINCT path) AS n_pages, count(*) AS n_occurrences FROM w G
   UNION ALL SELECT brain_id, path, 'body_text', unnest({WORDS.format("coalesce(body_text, '')")}) FROM cp)
 SELECT brain_id, field, count(DISTINCT (term, path)) AS n, count(*) AS n_positions, count(DISTINCT term) AS n_terms FROM w GROUP BY 1, 2""",
     "wikilinks": rf"""WITH {PAGES} SELECT DISTINCT path, unnest(regexp_extract_all(body_text, '\[\[([^\]|\n]+)\]\]', 1)) AS to_ref FROM cp WHERE body_text IS NOT NULL""",
+    "chunk_text": r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda p: trim(p, ' ' || chr(9) || chr(13) || chr(10))), lambda p: p <> '') AS ps FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'done': CAST([] AS VARCHAR[]), 'open': p}), lambda a, x: CASE
+    WHEN a.open <> '' AND length(a.open) + length(x.open) + 2 <= 800 THEN {'done': a.done, 'open': a.open || chr(10) || chr(10) || x.open}
+    WHEN length(x.open) <= 800 THEN {'done': CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, 'open': x.open}
+    ELSE {'done': list_concat(CASE WHEN a.open = '' THEN a.done ELSE list_append(a.done, a.open) END, list_transform(range(0, (length(x.open) - 1) // 800), lambda i: substr(x.open, i * 800 + 1, 800))),
+      'open': substr(x.open, (length(x.open) - 1) // 800 * 800 + 1, 800)} END, {'done': CAST([] AS VARCHAR[]), 'open': ''}) AS a FROM t WHERE len(ps) > 0),
+c AS (SELECT doc_id, unnest(list_append(a.done, a.open)) AS x, generate_subscripts(list_append(a.done, a.open), 1) - 1 AS i FROM r)
+SELECT doc_id || '#' || i AS id, doc_id, CAST(i AS INTEGER) AS chunk_index, md5(x) AS text_md5, CAST(length(x) AS INTEGER) AS n FROM c""",
+    "layers": rf"""WITH {PAGES}, s AS (SELECT regexp_replace(path, '\.overview\.md$', '.md') AS path, body_text AS side FROM cp WHERE ends_with(path, '.overview.md')),
+o AS (SELECT * FROM cp WHERE NOT regexp_matches(path, '(^|/)_overview\.md$|\.overview\.md$|\.abstract\.md$'))
+SELECT o.path, coalesce(nullif(trim(json_extract_string(frontmatter_json, '$.abstract')), ''), substr({FLAT.format('body_text')}, 1, 100)) AS l0,
+  CAST(CASE WHEN side IS NOT NULL THEN length(side) WHEN length(trim(body_text)) > 4000 THEN 4001 ELSE length(trim(body_text)) END AS INTEGER) AS l1_chars, CAST(length(body_text) AS INTEGER) AS l2_chars FROM o LEFT JOIN s ON s.path = o.path""",
+    "page_issues": r"""WITH i AS (
+  SELECT 'title' AS field, 'missing' AS message FROM pages WHERE length(trim(coalesce(title, ''))) = 0 UNION ALL SELECT 'title', 'too long' FROM pages WHERE length(title) > 200
+  UNION ALL SELECT 'type', 'unknown' FROM pages WHERE schema_type IS NULL OR schema_type NOT IN ('note', 'decision', 'lesson', 'experience', 'skill', 'meeting')
+  UNION ALL SELECT 'source', 'no slug' FROM pages WHERE source_id IS NULL OR NOT regexp_matches(source_id, '^[a-z0-9][a-z0-9_-]{0,63}$')
+  UNION ALL SELECT 'status', 'unknown' FROM pages WHERE lower(trim(status)) NOT IN ('active', 'archived', 'stale') UNION ALL SELECT 'body', 'too long' FROM pages WHERE length(body_text) > 200000
+  UNION ALL SELECT 'path', 'unsafe' FROM pages WHERE regexp_matches(path, '^/|\\|^[A-Za-z]:|(^|/)\.\.(/|$)') OR NOT starts_with(path, 'brains/' || brain_id || '/'))
+SELECT field, message, count(*) AS n FROM i GROUP BY 1, 2""",
     "directory_tree": """WITH """ + PAGES + """, p AS (SELECT schema_type, string_split(path, '/') AS s FROM cp),
 e AS (SELECT schema_type, s, unnest(range(1, least(4, len(s) - 1) + 1)) AS i FROM p)
 SELECT array_to_string(s[1:i], '/') AS dir, count(*) AS n_pages, count(DISTINCT schema_type) AS n_types FROM e GROUP BY 1""",
