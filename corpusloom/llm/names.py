@@ -326,9 +326,10 @@ def clustered_names(registry: DataFrame) -> DataFrame:
     weight = nodes.select("node", F.length("name").cast("long").alias("w"))
     full = star_clusters(typed.where("not a_initial and not b_initial"), weight)
     # an initial fits one cluster, or it is left alone
-    mixed = typed.where("a_initial <> b_initial").select(F.when(F.col("a_initial"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("a_initial"), F.col("b")).otherwise(F.col("a")).alias("full"))
-    home = mixed.join(full.select(F.col("node").alias("full"), "centre"), "full", "left").select("node", F.coalesce("centre", "full").alias("centre"))
-    fits = cut(home.groupBy("node").agg(F.min("centre").alias("centre"), F.max("centre").alias("other")))
+    mixed = typed.where("a_initial <> b_initial").select("score", F.when(F.col("a_initial"), F.col("a")).otherwise(F.col("b")).alias("node"), F.when(F.col("a_initial"), F.col("b")).otherwise(F.col("a")).alias("full"))
+    home = mixed.join(full.select(F.col("node").alias("full"), "centre"), "full", "left").groupBy("node", F.coalesce("centre", "full").alias("centre")).agg(F.max("score").alias("score"))
+    best = home.groupBy("node").agg(F.max("score").alias("best"))  # a middle initial that agrees decides
+    fits = cut(home.join(best, "node").where("score > best - 0.01").groupBy("node").agg(F.min("centre").alias("centre"), F.max("centre").alias("other")))
     alone = typed.where("a_initial and b_initial").join(fits.select(F.col("node").alias("a")), "a", "left_anti").join(fits.select(F.col("node").alias("b")), "b", "left_anti")
     groups = full.unionByName(fits.where("centre = other").select("node", "centre")).unionByName(star_clusters(alone, weight))
     ambiguous = fits.where("centre <> other").select("node", F.lit(True).alias("ambiguous"))
