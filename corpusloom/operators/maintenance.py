@@ -28,6 +28,12 @@ def facts(pages: DataFrame) -> DataFrame:
     return pages.select("path", F.posexplode(T.facts_of(F.col("body_text"))).alias("fact_index", "text"))
 
 
+def sourced_facts(pages: DataFrame) -> DataFrame:
+    """(path, fact_index, text): every fact with where it comes from, unless it says so itself."""
+    said = F.concat("text", F.lit(" [Source: "), F.col("path").cast("string"), F.lit("]"))
+    return facts(pages).withColumn("text", F.when(F.col("text").contains("[Source:"), F.col("text")).otherwise(said))
+
+
 def repeated_facts(pages: DataFrame) -> DataFrame:
     """(key, n_pages, least_path): facts that several pages state alike, by normalised text."""
     f = facts(pages).select(F.lower(T.collapsed(F.col("text"))).alias("key"), "path")

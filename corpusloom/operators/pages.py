@@ -109,3 +109,14 @@ def directory_overviews(pages: DataFrame, least: int = 2) -> DataFrame:
     """(dir, n, titles): folders of at least ``least`` pages with their titles in order, one line each."""
     g = pages.groupBy(T.parent_dir(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.coalesce("title", F.lit("")))).alias("titles"))
     return g.where(F.col("n") >= least).select("dir", "n", F.array_join("titles", "\n").alias("titles"))
+
+
+def archived(pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """Pages with those of ``paths`` archived: a soft delete, after which no search returns them."""
+    marked = paths.select("path", F.lit(True).alias("_gone")).distinct()
+    return pages.join(marked, "path", "left").withColumn("status", F.when(F.col("_gone"), "archived").otherwise(F.col("status"))).drop("_gone")
+
+
+def purged(pages: DataFrame, paths: DataFrame) -> DataFrame:
+    """Pages without those of ``paths``."""
+    return pages.join(paths.select("path").distinct(), "path", "left_anti")

@@ -84,6 +84,64 @@ def without_repeats(events: DataFrame, key: list[str], at: str = "ts", seconds:
     return events.withColumn("_b", before).where(F.col("_b").isNull() | (F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.col("_b").cast("timestamp")) > seconds * 1_000_000)).drop("_b")
 
 
+def flush_batches(events: DataFrame, key: str, at: str = "ts", most: int = 20, seconds: int = 300) -> DataFrame:
+    """(key, batch, first_at, last_at, n): batches of writes that close with ``most`` writes or ``seconds`` after the last close.
+
+    Like ``windows``, a fold over rows that Spark has sorted; it keeps one open batch.
+    """
+    kind = events.schema[key].dataType.simpleString()
+    micros = F.unix_micros(F.col(at).cast("timestamp"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, index, first, last, n, closed = None, 0, 0, 0, 0, None
+        fresh = True
+
+        def out(rows: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+            types = [like.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[key, "batch", "first_us", "last_us", "n"])
+
+        b = None
+        for b in batches:
+            rows: list[tuple] = []
+            for k, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if fresh or k != now:
+                    if n:
+                        rows.append((now, index, first, last, n))
+                    now, index, n, closed, fresh = k, 0, 0, t, False
+                first, last, n = (t if n == 0 else first), t, n + 1
+                if n >= most or t - closed >= seconds * 1_000_000:
+                    rows.append((now, index, first, last, n))
+                    index, n, closed = index + 1, 0, t
+            yield out(rows, b)
+        if n:
+            yield out([(now, index, first, last, n)], b)
+
+    ordered = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(key, micros.alias("us")).repartition(key).sortWithinPartitions(key, "us")
+    folded = ordered.mapInArrow(fold, f"`{key}` {kind}, batch int, first_us long, last_us long, n int")
+    return folded.select(key, "batch", F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("last_us").alias("last_at"), "n")
+
+
+def prompts(turns: DataFrame, max_chars: int = MAX_CHARS) -> DataFrame:
+    """(session_id, n, prompt): the numbered lines of a session for an extractor; truncated first, so a line list is bounded."""
+    t = truncated(turns.where(counted(F.col("role"))), max_chars).select("session_id", "turn", F.lower(F.trim("role")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
+    text = F.array_join(F.transform(lines, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["role"], F.lit(": "), x["text"])), "\n")
+    return t.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), text.alias("prompt"))
+
+
+def turns_in_range(source_turns: Column, n: Column) -> Column:
+    """Whether all of an extractor's source turns are turns of the session."""
+    return F.forall(source_turns, lambda x: (x >= 1) & (x <= n))
+
+
+def pruned(rows: DataFrame, now: str, at: str = "created_at", key: str = "session_id", keep: int = 50, days: int = 7) -> DataFrame:
+    """Finished rows that stay: the newest ``keep``, and those not older than ``days``. The ``keep``-th is found by a top-k."""
+    done = rows.where(F.col("status").isin("done", "failed"))
+    top = done.select(F.struct(at, key).alias("k")).orderBy(F.desc("k")).limit(keep).agg(F.min("k").alias("_least"))
+    young = F.col(at).cast("timestamp") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
+    return done.join(F.broadcast(top)).where(young | (F.struct(at, key) >= F.col("_least"))).drop("_least")
+
+
 def latest_status(rows: DataFrame, key: str = "session_id", status: str = "status", at: str = "created_at") -> DataFrame:
     """(key, status, at): the last status of every key."""
     return rows.groupBy(key).agg(F.max(F.struct(at, status)).alias("_r")).select(key, F.col(f"_r.{status}").alias(status), F.col(f"_r.{at}").alias(at))

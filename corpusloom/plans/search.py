@@ -58,6 +58,15 @@ def hybrid_search(
     return hits.orderBy(F.desc("score"), "path").limit(opts.limit).drop("updated_at")
 
 
+def search_key(query: str, brain_id: str | None, opts: X.Options, **filters) -> str:
+    """The key of a cached result: the query and every option that it depends on."""
+    import hashlib
+    import json
+    from dataclasses import asdict
+
+    return hashlib.sha256(json.dumps([query.strip(), brain_id, asdict(opts), filters], sort_keys=True, default=str).encode()).hexdigest()
+
+
 def think(hits: DataFrame) -> DataFrame:
     """(bucket, n, paths): hits as skills, experiences and notes, the best first."""
     ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "path"))), lambda x: x["path"])

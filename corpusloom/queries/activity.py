@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators import distillation, indexing, records, sessions, statistics
-from corpusloom.queries.common import PAGES, RECORDS, WORDS, active, pages
+from corpusloom.queries.common import NOW, PAGES, RECORDS, WORDS, active, pages
 from corpusloom.queries.common import records as current
 from corpusloom.queries.searches import _keyword
 from corpusloom.streaming import streams
@@ -176,11 +176,32 @@ def name_counts(spark, d):
     return records.name_table(current(spark, d)).groupBy("brain_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name").alias("names"))
 
 
+def flush_batches(spark, d):
+    return sessions.flush_batches(table(spark, d, "events"), "user_id", most=3, seconds=86_400).select("user_id", "batch", "n")
+
+
+def session_prompts(spark, d):
+    return sessions.prompts(_turns(spark, d), 800).select("session_id", "n", F.md5("prompt").alias("prompt_md5"))
+
+
+def pruned_sessions(spark, d):
+    return sessions.pruned(table(spark, d, "inbox_meta").dropDuplicates(["session_id"]), NOW).select("session_id", "status")
+
+
+def purged_pages(spark, d):
+    """Pages after archived ones are purged, by type."""
+    from corpusloom.operators.pages import purged
+
+    p = pages(spark, d)
+    return purged(p, p.where("status = 'archived'")).groupBy("schema_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         session_buffers, session_windows, truncated_turns, clean_turns, latest_status, recall_gate, gate_scores, repeats_dropped, hourly_events, event_list, event_sources, query_statistics, tokens_by_day, trend, trend_by_user,
-        evidence_counts, outcome_fold, undistilled, crystallized, boot_experiences, find_pages, sync_plan, synced_pages, unique_links, new_items, resolved_records, alias_conflicts, record_mentions, merged_records, name_counts,
+        evidence_counts, outcome_fold, undistilled, crystallized, boot_experiences, find_pages, sync_plan, synced_pages, unique_links, new_items, resolved_records, alias_conflicts, record_mentions, merged_records, name_counts, flush_batches,
+        session_prompts, pruned_sessions, purged_pages,
     )
 }
 
@@ -249,5 +270,16 @@ SELECT min(doc_id) AS doc_id FROM t GROUP BY k""",
 b AS (SELECT DISTINCT id, brain_id, lower(trim(to_ref)) AS name FROM links WHERE to_ref IS NOT NULL AND NOT contains(to_ref, '/') AND NOT contains(to_ref, chr(92))) SELECT id, slug FROM b JOIN n USING (brain_id, name)""",
     "merged_records": f"""WITH {RECORDS}, {_RES}, g AS (SELECT two.brain_id, two.target, two.slug, coalesce(CASE WHEN json_valid(aliases_json) THEN from_json(aliases_json, '["VARCHAR"]') END, []) AS a FROM two JOIN rec ON rec.brain_id = two.brain_id AND rec.slug = two.slug)
 SELECT brain_id, target, count(DISTINCT slug) AS n, array_to_string(list_sort(list_distinct(list(slug))), ',') AS slugs, CAST(len(list_distinct(flatten(list(a)))) AS INTEGER) AS n_aliases FROM g GROUP BY 1, 2 HAVING count(DISTINCT slug) > 1""",
+    "flush_batches": """WITH RECURSIVE o AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i, count(*) OVER (PARTITION BY user_id) AS m FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT user_id, i, m, 0 AS b, 1 AS n, t AS closed, false AS shut, t FROM o WHERE i = 1
+  UNION ALL SELECT o.user_id, o.i, o.m, CASE WHEN r.shut THEN r.b + 1 ELSE r.b END, CASE WHEN r.shut THEN 1 ELSE r.n + 1 END, CASE WHEN r.shut THEN r.t ELSE r.closed END,
+    (CASE WHEN r.shut THEN 1 ELSE r.n + 1 END) >= 3 OR o.t - (CASE WHEN r.shut THEN r.t ELSE r.closed END) >= 86400000000, o.t FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, CAST(b AS INTEGER) AS batch, CAST(n AS INTEGER) AS n FROM r WHERE shut OR i = m""",
+    "session_prompts": f"""WITH {_T}, w AS (SELECT *, sum(length(text)) OVER (PARTITION BY session_id ORDER BY turn DESC) AS s, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS q FROM c WHERE k),
+x AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i FROM w WHERE s <= 800 OR q = 1)
+SELECT session_id, count(*) AS n, md5(string_agg('[' || i || '] ' || lower(trim(role)) || ': ' || coalesce(text, ''), chr(10) ORDER BY i)) AS prompt_md5 FROM x GROUP BY 1""",
+    "pruned_sessions": f"""WITH d AS (SELECT DISTINCT ON (session_id) * FROM inbox_meta), f AS (SELECT *, row_number() OVER (ORDER BY created_at DESC, session_id DESC) AS r FROM d WHERE status IN ('done', 'failed'))
+SELECT session_id, status FROM f WHERE r <= 50 OR created_at >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY""",
+    "purged_pages": f"WITH {PAGES} SELECT schema_type, count(*) AS n FROM cp WHERE status <> 'archived' GROUP BY 1",
     "name_counts": f"WITH {RECORDS}, {_NAMES} SELECT brain_id, count(*) AS n, count(DISTINCT name) AS names FROM nm GROUP BY 1",
 }

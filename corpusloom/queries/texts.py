@@ -51,7 +51,8 @@ def postings_sizes(spark, d):
 
 def hash_embedding(spark, d):
     p = pages(spark, d)
-    return p.select("path", V.hash_embedding(T.bigrams(F.lower(F.coalesce("title", F.lit("")))), 32).alias("vector"))
+    v = V.hash_embedding(T.bigrams(F.lower(F.coalesce("title", F.lit("")))), 32)
+    return p.select("path", F.transform(v, lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 
 def wikilinks(spark, d):
@@ -91,6 +92,11 @@ def page_facts(spark, d):
     return f.groupBy("path").agg(F.count(F.lit(1)).alias("n_facts"), F.min("text").alias("least"))
 
 
+def sourced_facts(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.col("text").alias("body_text"))
+    return maintenance.sourced_facts(docs).select("path", F.md5("text").alias("text_md5"))
+
+
 def repeated_facts(spark, d):
     docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.col("text").alias("body_text"))
     return maintenance.repeated_facts(docs)
@@ -110,7 +116,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bigram_tokens, snippets, slug_paths, new_paths, content_hashes, chunk_text, term_statistics, postings_sizes, hash_embedding, wikilinks, extracted_links, page_issues, layers, directory_tree, directory_overviews, lint,
-        exact_copies, page_facts, repeated_facts, contradicting_numbers, token_estimates,
+        exact_copies, page_facts, sourced_facts, repeated_facts, contradicting_numbers, token_estimates,
     )
 }
 
@@ -138,6 +144,11 @@ SELECT term, count(DISTINCT path) AS n_pages, count(*) AS n_occurrences FROM w G
   SELECT brain_id, path, 'title' AS field, unnest({WORDS.format("coalesce(title, '')")}) AS term FROM cp
   UNION ALL SELECT brain_id, path, 'body_text', unnest({WORDS.format("coalesce(body_text, '')")}) FROM cp)
 SELECT brain_id, field, count(DISTINCT (term, path)) AS n, count(*) AS n_positions, count(DISTINCT term) AS n_terms FROM w GROUP BY 1, 2""",
+    "hash_embedding": rf"""WITH {PAGES}, t AS (SELECT path, regexp_replace(lower(coalesce(title, '')), '\s+', '', 'g') AS t FROM cp),
+g AS (SELECT path, CASE WHEN length(t) = 0 THEN CAST([] AS VARCHAR[]) WHEN length(t) = 1 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END AS gs FROM t),
+h AS (SELECT path, list_transform(gs, lambda g: list_reduce(list_transform(list_filter(string_split(g, ''), lambda c: c <> ''), lambda c: CAST(ord(c) AS BIGINT)), lambda x, c: (xor(x, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))) AS hs FROM g),
+v AS (SELECT path, list_transform(range(32), lambda i: coalesce(list_sum(list_transform(list_filter(hs, lambda x: x % 32 = i), lambda x: CASE WHEN x % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0)) AS r FROM h)
+SELECT path, list_transform(r, lambda x: round(CASE WHEN list_inner_product(r, r) > 0 THEN CAST(x / sqrt(list_inner_product(r, r)) AS FLOAT)::DOUBLE ELSE 0 END, 4)) AS vector FROM v""",
     "wikilinks": rf"""WITH {PAGES} SELECT DISTINCT path, unnest(regexp_extract_all(body_text, '\[\[([^\]|\n]+)\]\]', 1)) AS to_ref FROM cp WHERE body_text IS NOT NULL""",
     "chunk_text": r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda p: trim(p, ' ' || chr(9) || chr(13) || chr(10))), lambda p: p <> '') AS ps FROM documents WHERE text IS NOT NULL),
 r AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'done': CAST([] AS VARCHAR[]), 'open': p}), lambda a, x: CASE
@@ -170,6 +181,7 @@ SELECT issue, count(*) AS n, min(path) AS first_path FROM f GROUP BY 1""",
     "exact_copies": f"""WITH h AS (SELECT doc_id, CASE WHEN coalesce({FLAT.format('text')}, '') = '' THEN '#' || doc_id ELSE md5(lower({FLAT.format('text')})) END AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS n FROM h""",
     "page_facts": f"WITH {_FACTS} SELECT path, count(*) AS n_facts, min(t) AS least FROM (SELECT path, unnest(fs) AS t FROM f) GROUP BY 1",
+    "sourced_facts": f"WITH {_FACTS} SELECT path, md5(CASE WHEN contains(t, '[Source:') THEN t ELSE t || ' [Source: ' || path || ']' END) AS text_md5 FROM (SELECT path, unnest(fs) AS t FROM f)",
     "repeated_facts": f"WITH {_FACTS} SELECT lower({FLAT.format('t')}) AS key, count(DISTINCT path) AS n_pages, min(path) AS least_path FROM (SELECT path, unnest(fs) AS t FROM f) GROUP BY 1 HAVING count(DISTINCT path) > 1",
     "contradicting_numbers": rf"""WITH {_FACTS}, k AS (SELECT path, lower({FLAT.format('t')}) AS t FROM (SELECT path, unnest(fs) AS t FROM f)),
 g AS (SELECT path, t, regexp_replace(t, '[0-9]+([.,][0-9]+)*', '#', 'g') AS key FROM k)
