@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,13 @@ def norm(a: Column) -> Column:
 def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column | None = None) -> Column:
     """0 for null, empty, NaN or zero vectors and for different lengths. Pass norms that are at hand."""
     n = (norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b)
-    fits = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0) & ~F.isnan(n)
-    return F.coalesce(F.when(fits, dot(a, b) / n), F.lit(0.0))
+    value = let(n, lambda n: F.when((n > 0) & ~F.isnan(n), dot(a, b) / n))
+    return F.coalesce(F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), value), F.lit(0.0))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def hash_embedding(grams: Column, dims: int = 64) -> Column:
@@ -32,8 +39,13 @@ def hash_embedding(grams: Column, dims: int = 64) -> Column:
         letters = F.filter(F.split(g, ""), lambda c: c != "")
         return F.aggregate(letters, F.lit(FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c)) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
-    # place and sign of every gram, then one sum per place
-    at = F.transform(grams, lambda g: F.struct((hashed(g) % dims).alias("i"), F.when(hashed(g) % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.aggregate(F.filter(at, lambda p: p["i"] == i), F.lit(0.0), lambda a, p: a + p["s"]))
-    n = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda a, x: a + x * x))
-    return F.when(n > 0, F.transform(raw, lambda x: (x / n).cast("float"))).otherwise(F.transform(raw, lambda x: x.cast("float")))
+    # place and sign of every gram, then one sum per place, then the length; each worked out once
+    at = F.transform(F.transform(grams, hashed), lambda h: F.struct((h % dims).alias("i"), F.when(h % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
+    places = F.sequence(F.lit(0), F.lit(dims - 1))
+    raw = let(at, lambda a: F.transform(places, lambda i: F.aggregate(F.filter(a, lambda p: p["i"] == i), F.lit(0.0), lambda s, p: s + p["s"])))
+
+    def scaled(r: Column) -> Column:
+        size = F.sqrt(F.aggregate(r, F.lit(0.0), lambda s, x: s + x * x))
+        return let(size, lambda n: F.transform(r, lambda x: F.when(n > 0, x / n).otherwise(x).cast("float")))
+
+    return let(raw, scaled)

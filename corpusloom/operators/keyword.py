@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions.vector import let
 
 #: Fixed values of the ranking: weights of the parts, and of a word at label D.
 WEIGHTS = {"title": 3.0, "body": 1.0, "title_ngrams": 2.0, "body_ngrams": 0.8, "in_title": 2.5, "in_path": 1.5, "in_aliases": 3.0}
@@ -44,14 +45,19 @@ def word_rank(words: Column, terms: list[str]) -> Column:
     """
     if not terms:
         return F.lit(0.0)
-    at = [_positions(words, t) for t in terms]
+    # the words are split once and the places of each term found once
+    places = let(words, lambda w: F.array(*[_positions(w, t) for t in terms]))
     if len(terms) == 1:
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(at[0]), F.lit(1))), F.lit(0.0), lambda s, j: s + F.when(F.size(at[0]) >= j, LABEL_D / (j * j)).otherwise(0.0)) / ZETA_2
-    missed = F.lit(1.0)
-    for i, a in enumerate(at):
-        for b in at[i + 1 :]:
-            missed = missed * _apart(a, b)
-    return 1 - missed
+        return let(places, lambda at: F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(at[0]), F.lit(1))), F.lit(0.0), lambda s, j: s + F.when(F.size(at[0]) >= j, LABEL_D / (j * j)).otherwise(0.0))) / ZETA_2
+
+    def missed(at: Column) -> Column:
+        out = F.lit(1.0)
+        for i in range(len(terms)):
+            for j in range(i + 1, len(terms)):
+                out = out * _apart(at[i], at[j])
+        return out
+
+    return 1 - let(places, missed)
 
 
 def _apart(a: Column, b: Column) -> Column:

@@ -145,10 +145,11 @@ SELECT term, count(DISTINCT path) AS n_pages, count(*) AS n_occurrences FROM w G
   UNION ALL SELECT brain_id, path, 'body_text', unnest({WORDS.format("coalesce(body_text, '')")}) FROM cp)
 SELECT brain_id, field, count(DISTINCT (term, path)) AS n, count(*) AS n_positions, count(DISTINCT term) AS n_terms FROM w GROUP BY 1, 2""",
     "hash_embedding": rf"""WITH {PAGES}, t AS (SELECT path, regexp_replace(lower(coalesce(title, '')), '\s+', '', 'g') AS t FROM cp),
-g AS (SELECT path, CASE WHEN length(t) = 0 THEN CAST([] AS VARCHAR[]) WHEN length(t) = 1 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END AS gs FROM t),
-h AS (SELECT path, list_transform(gs, lambda g: list_reduce(list_transform(list_filter(string_split(g, ''), lambda c: c <> ''), lambda c: CAST(ord(c) AS BIGINT)), lambda x, c: (xor(x, c) * 16777619) & 4294967295, CAST(2166136261 AS BIGINT))) AS hs FROM g),
-v AS (SELECT path, list_transform(range(32), lambda i: coalesce(list_sum(list_transform(list_filter(hs, lambda x: x % 32 = i), lambda x: CASE WHEN x % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END)), 0)) AS r FROM h)
-SELECT path, list_transform(r, lambda x: round(CASE WHEN list_inner_product(r, r) > 0 THEN CAST(x / sqrt(list_inner_product(r, r)) AS FLOAT)::DOUBLE ELSE 0 END, 4)) AS vector FROM v""",
+g AS (SELECT path, unnest(CASE WHEN length(t) = 1 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END) AS g FROM t WHERE t <> ''),
+x AS (SELECT path, g, (xor(2166136261, CAST(ord(g) AS BIGINT)) * 16777619) & 4294967295 AS a FROM g), h AS (SELECT path, CASE WHEN length(g) = 2 THEN (xor(a, CAST(ord(substr(g, 2, 1)) AS BIGINT)) * 16777619) & 4294967295 ELSE a END AS h FROM x),
+s AS (SELECT path, h % 32 AS i, CAST(sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS s FROM h GROUP BY 1, 2), n AS (SELECT path, sqrt(sum(s * s)) AS n FROM s GROUP BY 1),
+e AS (SELECT cp.path, r.range AS i FROM cp, range(32) r)
+SELECT e.path, list(round(CASE WHEN n > 0 THEN CAST(coalesce(s, 0) / n AS FLOAT)::DOUBLE ELSE 0 END, 4) ORDER BY e.i) AS vector FROM e LEFT JOIN s ON s.path = e.path AND s.i = e.i LEFT JOIN n ON n.path = e.path GROUP BY 1""",
     "wikilinks": rf"""WITH {PAGES} SELECT DISTINCT path, unnest(regexp_extract_all(body_text, '\[\[([^\]|\n]+)\]\]', 1)) AS to_ref FROM cp WHERE body_text IS NOT NULL""",
     "chunk_text": r"""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\n{2,}'), lambda p: trim(p, ' ' || chr(9) || chr(13) || chr(10))), lambda p: p <> '') AS ps FROM documents WHERE text IS NOT NULL),
 r AS (SELECT doc_id, list_reduce(list_transform(ps, lambda p: {'done': CAST([] AS VARCHAR[]), 'open': p}), lambda a, x: CASE
