@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.skew import hot_keys, salted_join
 from corpusloom.tables import current_rows
 
 
@@ -23,12 +24,20 @@ def name_table(records: DataFrame) -> DataFrame:
     return records.select("brain_id", F.explode(F.filter(names, lambda x: x.isNotNull() & (x != ""))).alias("name"), "slug")
 
 
+def _key(brain: str, name: str) -> Column:
+    return F.concat(brain, F.lit("\x01"), name).alias("_key")
+
+
 def resolved(records: DataFrame, steps: int = 2) -> DataFrame:
     """(brain_id, slug, target, steps): where at most ``steps`` redirects lead. A missing target is where it ends."""
-    hop = records.select("brain_id", F.col("slug").alias("target"), F.col("canonical_slug").alias("_next"))
+    hop = records.select(_key("brain_id", "slug"), F.col("canonical_slug").alias("_next"))
     out = records.select("brain_id", "slug", F.col("canonical_slug").alias("target"), (F.col("slug") != F.col("canonical_slug")).cast("int").alias("steps"))
     for _ in range(steps - 1):
-        out = out.join(hop, ["brain_id", "target"], "left").select("brain_id", "slug", F.coalesce("_next", "target").alias("target"), (F.col("steps") + F.coalesce((F.col("_next") != F.col("target")).cast("int"), F.lit(0))).alias("steps"))
+        keyed = out.withColumn("_key", _key("brain_id", "target"))
+        # a record that very many others redirect to is spread over tasks
+        hot = hot_keys(keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", "n")
+        keyed = salted_join(keyed, hop, "_key", F.col("slug"), hot, "left")
+        out = keyed.select("brain_id", "slug", F.coalesce("_next", "target").alias("target"), (F.col("steps") + F.coalesce((F.col("_next") != F.col("target")).cast("int"), F.lit(0))).alias("steps"))
     return out
 
 
@@ -41,7 +50,9 @@ def mentions(links: DataFrame, records: DataFrame) -> DataFrame:
     """(id, slug): links to a name, with the record of the link's brain that has it; of several the least slug."""
     named = name_table(records).groupBy("brain_id", "name").agg(F.min("slug").alias("slug"))
     bare = links.where(F.col("to_ref").isNotNull() & ~F.col("to_ref").rlike(r"[/\\]")).select("id", "brain_id", F.lower(F.trim("to_ref")).alias("name")).distinct()
-    return bare.join(named, ["brain_id", "name"]).select("id", "slug")
+    bare, named = bare.select("id", _key("brain_id", "name")), named.select(_key("brain_id", "name"), "slug")
+    hot = hot_keys(bare.groupBy("_key").agg(F.count(F.lit(1)).alias("n")), "_key", "n")
+    return salted_join(bare, named, "_key", F.col("id"), hot).select("id", "slug")
 
 
 def merged_records(records: DataFrame) -> DataFrame:
