@@ -101,7 +101,8 @@ def hotness(age_days: Column, half_life: float = 30.0) -> Column:
 
 def heated(hits: DataFrame, now: str, opts: Options = Options()) -> DataFrame:
     """score x (1 + heat x hotness) by updated_at; ``now`` is given, so a result can be repeated."""
-    age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("updated_at")) / 86400.0
+    # between times without zone, so no session setting changes it
+    age = F.timestamp_diff("MICROSECOND", F.col("updated_at").cast("timestamp_ntz"), F.lit(now).cast("timestamp_ntz")) / 86_400e6
     return hits.withColumn("score", F.col("score") * (1 + opts.heat * hotness(age, opts.half_life_days)))
 
 

@@ -86,7 +86,7 @@ def key_dictionary(refs: DataFrame, pages: DataFrame) -> DataFrame:
     """(path, kid, exists, archived, first_at, n): one integer id per page path or referenced path, and what is known of the page."""
     status = F.lower(F.trim("status"))
     seen = pages.where(F.col("path").isNotNull()).select("path", F.struct("updated_at", status.alias("status")).alias("_v"), "updated_at", F.lit(0).alias("_ref"))
-    asked = refs.select("path", F.lit(None).cast(seen.schema["_v"].dataType).alias("_v"), F.lit(None).cast("timestamp").alias("updated_at"), F.lit(1).alias("_ref"))
+    asked = refs.select("path", F.lit(None).cast(seen.schema["_v"].dataType).alias("_v"), F.lit(None).cast(seen.schema["updated_at"].dataType).alias("updated_at"), F.lit(1).alias("_ref"))
     keys = seen.unionByName(asked).groupBy("path").agg(
         (F.min("_ref") == 0).alias("exists"), F.coalesce(F.max("_v")["status"] == "archived", F.lit(False)).alias("archived"), F.min("updated_at").alias("first_at"), F.sum("_ref").alias("n")
     )

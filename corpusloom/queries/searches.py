@@ -230,7 +230,7 @@ hi AS (SELECT from_path, to_ref FROM links WHERE from_path IN (SELECT path FROM
 hn AS (SELECT path, path AS ref FROM h UNION ALL SELECT path, {BASE.format('path')} FROM h), hx AS (SELECT hn.path, count(DISTINCT l.source) AS k, count(DISTINCT {PREFIX.format('l.from_path')}) AS p FROM links l JOIN hn ON l.to_ref = hn.ref GROUP BY 1),
 h2 AS (SELECT h.*, s1 * CASE WHEN d >= 2 THEN 1.05::DOUBLE ELSE 1 END * CASE WHEN hx.k >= 2 OR hx.p >= 2 THEN 1.1::DOUBLE ELSE 1 END AS s2 FROM h LEFT JOIN hd USING (path) LEFT JOIN hx USING (path)),
 h3 AS (SELECT *, s2 * CASE WHEN row_number() OVER (PARTITION BY {PREFIX.format('path')} ORDER BY s2 DESC, path) > 1 THEN 0.95::DOUBLE ELSE 1 END AS s3 FROM h2),
-h4 AS (SELECT *, s3 * (1 + 0.15::DOUBLE * CASE WHEN updated_at IS NULL THEN 0.5::DOUBLE ELSE exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{NOW}') - floor(epoch(updated_at))) / 86400.0) / 30) END) AS score FROM h3)
+h4 AS (SELECT *, s3 * (1 + 0.15::DOUBLE * CASE WHEN updated_at IS NULL THEN 0.5::DOUBLE ELSE exp(-ln(2) * greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0::DOUBLE) / 30) END) AS score FROM h3)
 SELECT path, round(score, 6) AS score, round(k, 6) AS keyword, round(m, 6) AS semantic, round(g, 6) AS graph, evidence FROM h4 ORDER BY score DESC, path LIMIT 10"""
 
 SQL = {
@@ -275,7 +275,7 @@ SELECT path, round(score * CASE WHEN d >= 2 THEN CAST(1.05 AS DOUBLE) ELSE 1 END
 x AS (SELECT n.path, count(DISTINCT l.source) AS k, count(DISTINCT {PREFIX.format('l.from_path')}) AS p FROM l JOIN n ON l.to_ref = n.r GROUP BY 1)
 SELECT path, round(score * CASE WHEN k >= 2 OR p >= 2 THEN CAST(1.1 AS DOUBLE) ELSE 1 END, 6) AS score FROM h LEFT JOIN x USING (path)""",
     "diversify": f"""WITH {_HITS} SELECT path, round(score * CASE WHEN row_number() OVER (PARTITION BY {PREFIX.format('path')} ORDER BY score DESC, path) > 1 THEN CAST(0.95 AS DOUBLE) ELSE 1 END, 6) AS score FROM h""",
-    "hotness": f"""WITH {_HITS} SELECT path, round(score * (1 + CAST(0.15 AS DOUBLE) * CASE WHEN updated_at IS NULL THEN CAST(0.5 AS DOUBLE) ELSE exp(-ln(2) * greatest(0, (epoch(TIMESTAMP '{NOW}') - floor(epoch(updated_at))) / 86400.0) / 30) END), 6) AS score FROM h""",
+    "hotness": f"""WITH {_HITS} SELECT path, round(score * (1 + CAST(0.15 AS DOUBLE) * CASE WHEN updated_at IS NULL THEN CAST(0.5 AS DOUBLE) ELSE exp(-ln(2) * greatest(0, (epoch_us(TIMESTAMP '{NOW}') - epoch_us(updated_at)) / 86400000000.0::DOUBLE) / 30) END), 6) AS score FROM h""",
     "directory_order": f"WITH {_HITS} SELECT regexp_replace(path, '/[^/]*$', '') AS dir, round(sum(score), 4) AS dir_score, count(*) AS n FROM h GROUP BY 1",
     "local_rerank": f"WITH {PAGES} SELECT path, CAST({_rerank(QUERY)} AS DOUBLE) AS score FROM ap",
     "entity_boost": rf"""WITH {RECORDS}, nm AS (SELECT brain_id, lower(trim(x)) AS name, min(slug) AS slug FROM (
