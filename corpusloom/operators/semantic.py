@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,11 +30,43 @@ def vector_search(chunks: DataFrame, query: list[float], limit: int = 10, pages:
 
 
 def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, path, score, rank): the same for at most MAX_QUERIES queries (query_id, vector), which are broadcast."""
-    if (n := queries.count()) > MAX_QUERIES:
-        raise ValueError(f"{n} queries; at most {MAX_QUERIES} are broadcast. Use the index of nearest vectors for more.")
-    q = F.broadcast(queries.select("query_id", F.col("vector").alias("_q"), V.norm(F.col("vector")).alias("_n")))
-    scored = chunks.where("embedding is not null").join(q).select("query_id", "path", V.cosine(F.col("embedding"), F.col("_q"), norm_b=F.col("_n")).alias("score"))
-    best = scored.groupBy("query_id", "path").agg(F.max("score").alias("score"))
+    """(query_id, path, score, rank): the same for a stated set of at most MAX_QUERIES queries (query_id, vector).
+
+    The queries are broadcast as a matrix; every Arrow batch of chunks is one product with it, pooled per page, of which
+    the k best of each query (and their ties) leave the task. Unusable vectors score 0.
+    """
+    asked = queries.select("query_id", "vector").limit(MAX_QUERIES + 1).collect()
+    if len(asked) > MAX_QUERIES:
+        raise ValueError(f"at most {MAX_QUERIES} queries are broadcast; use the index of nearest vectors for more")
+    dim = max((len(r[1]) for r in asked if r[1] is not None), default=0)
+
+    def unit(rows: list) -> np.ndarray:
+        x = np.array([r if r is not None and len(r) == dim and None not in r else [0.0] * dim for r in rows], float).reshape(len(rows), dim)
+        n = np.linalg.norm(x, axis=1, keepdims=True)
+        good = np.isfinite(n) & (n > 0)
+        return np.where(good, x / np.where(good, n, 1), 0.0)
+
+    ids = pa.array([r[0] for r in asked], pa.int64() if queries.schema["query_id"].dataType.simpleString() in ("bigint", "int") else pa.string())
+    shared = chunks.sparkSession.sparkContext.broadcast((ids, unit([r[1] for r in asked]).T))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q = shared.value
+        for b in batches:
+            if not b.num_rows or not len(ids):
+                continue
+            sims = unit(b.column(1).to_pylist()) @ q
+            coded = b.column(0).dictionary_encode()
+            group = coded.indices.to_numpy(zero_copy_only=False)
+            by = np.argsort(group, kind="stable")
+            start = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) > 0]))
+            pooled = np.maximum.reduceat(sims[by], start, axis=0)
+            kth = np.partition(pooled, max(0, len(pooled) - k), axis=0)[max(0, len(pooled) - k)]
+            page, query = np.nonzero(pooled >= kth)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), coded.dictionary.take(pa.array(group[by][start][page])), pa.array(pooled[page, query])], names=["query_id", "path", "score"])
+
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    qtype = "bigint" if pa.types.is_integer(ids.type) else "string"
+    found = chunks.where("embedding is not null and path is not null").select("path", "embedding").mapInArrow(run, f"query_id {qtype}, path {kind(chunks, 'path')}, score double")
+    best = found.groupBy("query_id", "path").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)

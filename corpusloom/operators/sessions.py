@@ -137,9 +137,13 @@ def turns_in_range(source_turns: Column, n: Column) -> Column:
 def pruned(rows: DataFrame, now: str, at: str = "created_at", key: str = "session_id", keep: int = 50, days: int = 7) -> DataFrame:
     """Finished rows that stay: the newest ``keep``, and those not older than ``days``. The ``keep``-th is found by a top-k."""
     done = rows.where(F.col("status").isin("done", "failed"))
-    top = done.select(F.struct(at, key).alias("k")).orderBy(F.desc("k")).limit(keep).agg(F.min("k").alias("_least"))
-    young = F.col(at).cast("timestamp") >= F.lit(now).cast("timestamp") - F.expr(f"interval {days} days")
-    return done.join(F.broadcast(top)).where(young | (F.struct(at, key) >= F.col("_least"))).drop("_least")
+    top = done.select(at, key).orderBy(F.desc(at), F.desc(key)).limit(keep).agg(F.min(F.struct(at, key)).alias("k")).select("k.*").first()
+    young = F.col(at).cast("timestamp_ntz") >= F.lit(now).cast("timestamp_ntz") - F.expr(f"interval {days} days")
+    if top[0] is None:
+        return done.where(young)
+    kind = rows.schema[at].dataType
+    newest = (F.col(at) > F.lit(top[0]).cast(kind)) | ((F.col(at) == F.lit(top[0]).cast(kind)) & (F.col(key) >= F.lit(top[1])))
+    return done.where(young | newest)
 
 
 def latest_status(rows: DataFrame, key: str = "session_id", status: str = "status", at: str = "created_at") -> DataFrame:

@@ -28,8 +28,10 @@ def tokens_used(costs: DataFrame, day: str) -> DataFrame:
 
 def evidence_shares(hits: DataFrame) -> DataFrame:
     """(tag, n, share) of the evidence tags of hits."""
-    t = hits.select(F.explode("evidence").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    return t.crossJoin(F.broadcast(hits.agg(F.count(F.lit(1)).alias("_all")))).select("tag", "n", ratio(F.col("n").cast("double"), F.col("_all")).alias("share"))
+    t = hits.select(F.explode(F.concat("evidence", F.array(F.lit("")))).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    # one pass: the empty tag counts the hits; what is left is a row per tag
+    every = F.max(F.when(F.col("tag") == "", F.col("n"))).over(Window.partitionBy(F.lit(0)))
+    return t.withColumn("share", ratio(F.col("n").cast("double"), every)).where("tag <> ''")
 
 
 def event_list(events: DataFrame, type_: str | None = None, source: int | None = None, since: str | None = None, limit: int = 50) -> DataFrame:

@@ -104,3 +104,19 @@ def test_hundred_bad_paths(spark):
     forms = ["/abs/{}", "../{}", "brains/c/{}", "brains/b/../c/{}", "C:/{}", "brains\\b\\{}", "brains/b/x/../../c/{}", "other/{}", "./../{}", "brains/bb/{}"]
     df = spark.createDataFrame([(forms[i % 10].format(i), "b") for i in range(100)], "path string, brain_id string")
     assert df.where(~P.unsafe_path(F.col("path"), F.col("brain_id"))).count() == 0
+
+
+def test_batch_vectors(spark):
+    import numpy as np
+
+    from corpusloom.operators.semantic import batch_vector_search
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(60, 8)).astype(np.float32)
+    rows = [(f"p{i // 2:02}", v.tolist()) for i, v in enumerate(x)] + [("zero", [0.0] * 8), ("short", [1.0]), ("none", None), (None, [1.0] * 8)]
+    got = batch_vector_search(spark.createDataFrame(rows, "path string, embedding array<float>"), spark.createDataFrame([(i, x[i].tolist()) for i in (0, 7)], "query_id long, vector array<float>"), 3)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for q in (0, 7):
+        pooled = np.maximum.reduceat(u @ u[q], np.arange(0, 60, 2))
+        assert [r["path"] for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == [f"p{i:02}" for i in np.argsort(-pooled)[:3]]
+    assert batch_vector_search(spark.createDataFrame(rows, "path string, embedding array<float>").limit(0), spark.createDataFrame([(1, [1.0] * 8)], "query_id long, vector array<float>")).count() == 0
