@@ -1,6 +1,7 @@
 """What several queries share: the current tables, and the SQL that says the same."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.operators.pages import current_pages, readable
 from corpusloom.operators.records import current_records
@@ -15,7 +16,11 @@ def pages(spark, d) -> DataFrame:
 
 
 def active(spark, d, **filters) -> DataFrame:
-    return readable(pages(spark, d), **filters)
+    """Readable pages. A path lies in one brain in all its versions, so the brain is filtered at the scan."""
+    p = table(spark, d, "pages")
+    if brain := filters.get("brain_id"):
+        p = p.where(F.col("brain_id") == brain)
+    return readable(current_pages(p), **filters)
 
 
 def records(spark, d) -> DataFrame:
