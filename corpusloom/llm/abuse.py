@@ -45,8 +45,8 @@ LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏԛԝвнкмтαβεικν
 LEET = str.maketrans("0134578@$!", "oieastbasi")
 _INVISIBLE = {c: None for c in range(0x3000) if unicodedata.category(chr(c)) in ("Cf",)} | {0xFEFF: None}
 _JSON = re.compile(r'\\u([0-9a-fA-F]{4})|\\([nrt"/\\])')
-_SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .*_\-~|]+){3,}[^\W\d_](?![^\W_])")
-_MASKED = re.compile(r"(?<=[^\W\d_])[*._\-~|]+(?=[^\W\d_])")
+#: Letters set apart: four or more by blanks, three or more by signs.
+_SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W\d_][ .*_\-~|]+){3,}|(?:[^\W\d_][.*_\-~|]+){2,})[^\W\d_](?![^\W_])")
 _HAN = "㐀-䶿一-鿿"
 _HAN_GAP = re.compile(rf"(?<=[{_HAN}])[ *._\-~|·]+(?=[{_HAN}])")
 _MIXED = re.compile(r"(?<![\w@$!])(?=[\w@$!]*[a-z])(?=[\w@$!]*[0134578@$!])[\w@$!]*[\w@$](?![\w@$])")

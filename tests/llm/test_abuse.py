@@ -40,6 +40,7 @@ def test_disguises():
 
 def test_normal():
     assert abuse.normal("\\u4f60\\n&amp;") == "你\n&" and abuse.normal("Call 112 or 4 people") == "call 0 or 0 people" and abuse.normal("ＡＢＣ ß") == "abc ss"
+    assert abuse.normal("p.i.g, s-e-x and B r e a k; a b c") == "pig, sex and break; a b c"
     assert all(len(s) <= abuse.LONG for s in abuse.sentences("x" * 10_000)) and abuse.sentences("") == []
 
 
