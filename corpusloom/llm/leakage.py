@@ -4,7 +4,7 @@ Method: template canonicalisation. Texts become words (characters for Chinese it
 typed placeholders, and windows of WINDOW canonical words are hashed. Windows of documents are hash-joined with those of
 the items; slot consistency asks that the values behind the placeholders agree too. A stretch of 20 words with at
 most one in ten changed holds at least one unchanged window of six, so every case is met by a consistent window; the
-stretch itself is then checked by chaining the runs of equal words. Windows whose template agrees while the slots do
+stretch itself is then checked exactly, by edit distance to both sides of every run of equal words. Windows whose template agrees while the slots do
 not are re-parameterised questions, which ``reparameterised`` reports.
 
 * The items are a fixed table (MAX_ITEMS is checked); their windows are broadcast.
@@ -145,7 +145,7 @@ class Items:
         return sorted(out)
 
 
-def _runs(doc: np.ndarray, item: np.ndarray, w: int = 3) -> list[tuple[int, int, int]]:
+def _runs(doc: np.ndarray, item: np.ndarray, w: int) -> list[tuple[int, int, int]]:
     """(place in item, place in doc, length) of the maximal runs of at least w equal words."""
     a, b = _rolled(item, w), _rolled(doc, w)
     order = np.argsort(a, kind="stable")
@@ -162,48 +162,41 @@ def _runs(doc: np.ndarray, item: np.ndarray, w: int = 3) -> list[tuple[int, int,
     return sorted(zip(i[new].tolist(), j[new].tolist(), (i[ends] - i[new] + w).tolist(), strict=True))
 
 
-def _apart(a: np.ndarray, b: np.ndarray) -> int:
-    """Words changed, left out or added between two short stretches."""
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a.tolist(), 1):
-        last, row[0] = row[0], i
-        for k, y in enumerate(b.tolist(), 1):
-            last, row[k] = row[k], min(row[k] + 1, row[k - 1] + 1, last + (x != y or x < 0))
-    return row[-1]
+def _reach(item: list[int], doc: list[int], most: int) -> list[int]:
+    """Words of ``item`` from its start that 0, 1, … ``most`` errors reach along ``doc`` from its start.
+
+    The furthest point on each diagonal with so many words changed, left out or added (k: place in doc less place in item).
+    """
+    far, out = {0: 0}, []
+    for e in range(most + 1):
+        step = dict(far)
+        for k, i in far.items() if e else ():
+            for to, at in ((k, i + 1), (k - 1, i + 1), (k + 1, i)):
+                if at <= len(item) and 0 <= at + to <= len(doc) and at > step.get(to, -1):
+                    step[to] = at
+        for k, i in step.items():
+            while i < len(item) and i + k < len(doc) and item[i] == doc[i + k]:
+                i += 1
+            step[k] = i
+        far = step
+        out.append(max(far.values()))
+    return out
 
 
 def holds_stretch(doc: np.ndarray, item: np.ndarray, least: int) -> bool:
-    """Whether ``doc`` holds at least ``least`` successive words of ``item``, at most one in ten changed, left out or added."""
-
-    def enough(length: int, errors: int) -> bool:
-        # changed words at the ends of the stretch are part of it too
-        room = len(item) - length
-        return any(length + x >= least and 10 * (errors + x) <= length + x for x in range(min(room, least // 10) + 1))
-
-    runs = _runs(doc, item)
-    if any(enough(n, 0) for _, _, n in runs):
-        return True
-    slack = len(item) // 10
-    for s, (i0, _, _) in enumerate(runs):
-        best = {s: 0}
-        for t in range(s + 1, len(runs)):
-            i, j, n = runs[t]
-            for u, e in list(best.items()):
-                iu, ju, nu = runs[u]
-                # runs may overlap by a word or two where something was left out or added
-                over = max(0, iu + nu - i, ju + nu - j)
-                if over >= n or i <= iu or j <= ju:
-                    continue
-                a, b = item[iu + nu : i + over], doc[ju + nu : j + over]
-                if max(len(a), len(b)) > slack:
-                    continue
-                cost = e + _apart(a, b)
-                if cost <= slack and cost < best.get(t, slack + 1):
-                    best[t] = cost
-            if t in best and enough(i + n - i0, best[t]):
-                return True
+    """Whether ``doc`` holds at least ``least`` successive words of ``item``, at most one in ten changed, left out or added.
+
+    Exact for ``least`` from 20 on: of a stretch of 2 x ``least`` words or more one half is a case too, so there are at most
+    (2 x ``least`` - 1) // 10 errors; and one run of WINDOW equal words lies in it, from which both ends are reached.
+    """
+    most = (2 * least - 1) // 10
+    words = item.tolist()
+    for i, j, n in _runs(doc, item, WINDOW):
+        # words are added on the way, so the document is read a little further than the item
+        after = _reach(words[i + n :], doc[j + n : j + n + len(words) + most].tolist(), most)
+        before = _reach(words[:i][::-1], doc[max(0, j - len(words) - most) : j][::-1].tolist(), most)
+        if any((length := x + n + y) >= least and 10 * (a + b) <= length for a, x in enumerate(before) for b, y in enumerate(after)):
+            return True
     return False
 
 

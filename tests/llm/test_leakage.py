@@ -106,3 +106,65 @@ def test_copies_and_empty_tables(spark):
 def test_report(spark):
     docs = spark.createDataFrame([(0, ITEMS[0][2]), (1, ITEMS[0][2])], "doc_id long, text string")
     assert {r["item_id"]: r["n_docs"] for r in L.leaked_items(docs, items(spark)).collect()} == {1: 2, 2: 0, 3: 0, 4: 0, 5: 0, 6: 0}
+
+
+def brute(doc, item, least):
+    """Every stretch of the item against every stretch of the document by edit distance."""
+    for a in range(len(item)):
+        row = [[0] * (len(doc) + 1)]
+        for b in range(a + 1, len(item) + 1):
+            last, new = row[-1], [b - a]
+            for j, y in enumerate(doc, 1):
+                new.append(min(last[j] + 1, new[j - 1] + 1, last[j - 1] + (item[b - 1] != y)))
+            row.append(new)
+            if b - a >= least and min(new) * 10 <= b - a:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("least", [20, 30])
+def test_changes_near_the_ends(least):
+    """One change, or as many as are allowed, at places 1 to 4 from either end of the shortest stretch."""
+    import numpy as np
+
+    item = list(range(50))
+    for n in (least, least + 1):
+        near = [*range(4), *range(n - 4, n)]
+        for at in [[x] for x in near] + [sorted({x, y}) for x in near for y in range(0, n, 3)] + [sorted([x, n // 2 - 3, n // 2 + 2]) for x in near]:
+            for how in ("change", "leave out", "add"):
+                doc = item[10 : 10 + n]
+                for x in at[::-1]:
+                    doc[x : x + 1] = {"change": [999], "leave out": [], "add": [doc[x], 999]}[how]
+                doc = [500] * 5 + doc + [600] * 5
+                want = brute(doc, item, least)
+                assert L.holds_stretch(np.array(doc), np.array(item), least) == want, (n, at, how)
+                assert want or len(at) * 10 > n
+
+
+@pytest.mark.parametrize("least", [20, 30])
+def test_brute_force_agrees_always(least):
+    import numpy as np
+
+    rng, held = random.Random(11), 0
+    for few in (200, 4):  # with words that occur once, and with the same few again and again
+        for _ in range(250):
+            item = [rng.randrange(few) for _ in range(2 * least + 5)]
+            a = rng.randrange(least // 2)
+            doc = item[a : a + rng.randrange(least - 3, 2 * least)]
+            for _ in range(rng.randrange(6)):
+                i = rng.randrange(len(doc))
+                doc[i : i + 1] = rng.choice([[999], [], [doc[i], 999]])
+            doc = [rng.randrange(500, 600) for _ in range(5)] + doc + [rng.randrange(500, 600) for _ in range(5)]
+            want = brute(doc, item, least)
+            held += want
+            assert L.holds_stretch(np.array(doc), np.array(item), least) == want
+    assert 100 < held < 450
+
+
+def test_shortest_stretch_with_a_change_near_its_end(spark):
+    def altered(units, at, new, sep):
+        return sep.join([*units[:at], new, *units[at + 1 :]])
+
+    w, zh = words(1)[:20], list(L.plain(ITEMS[3][2]))[:30]
+    texts = [altered(w, at, "zzz", " ") for at in (1, 2, 3, 16, 17, 18)] + [altered(zh, at, "龘", "") for at in (1, 2, 3, 26, 27, 28)]
+    assert leaked(spark, texts) == {(i, 1) for i in range(6)} | {(i, 4) for i in range(6, 12)}
