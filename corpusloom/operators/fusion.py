@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 from corpusloom.operators.keyword import query_bigrams
+from corpusloom.operators.skew import hot_keys, salted_join
 
 RRF_K = 60
 #: Weights of keyword, semantic, graph, title and path, entity, by intent; without and with vectors.
@@ -73,19 +74,37 @@ def cosine_rescored(hits: DataFrame, share: float = 0.3) -> DataFrame:
     return hits.withColumn("score", (1 - share) * F.col("score") + share * F.greatest(F.lit(0.0), F.coalesce("cos", F.lit(0.0))))
 
 
-def hub_signal(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """score x 1.05 for hits that two or more links among the hits touch."""
-    p = F.broadcast(hits.select("path"))
-    inside = links.join(p.withColumnRenamed("path", "from_path"), "from_path", "left_semi").join(p.withColumnRenamed("path", "to_ref"), "to_ref", "left_semi")
-    d = inside.select(F.explode(F.array("from_path", "to_ref")).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("_d"))
+def hub_signal(hits: DataFrame, links: DataFrame, few: bool = False) -> DataFrame:
+    """score x 1.05 for hits that two or more links among the hits touch. ``few``: the hits are a top-k and may be broadcast."""
+    pairs = links.select("from_path", "to_ref")
+    if few:
+        p = F.broadcast(hits.select("path"))
+        inside = pairs.join(p.withColumnRenamed("path", "from_path"), "from_path", "left_semi").join(p.withColumnRenamed("path", "to_ref"), "to_ref", "left_semi").withColumn("n", F.lit(1))
+    else:
+        # equal links are counted first, so the other end spreads what is left of a hub
+        inside = pairs.groupBy("from_path", "to_ref").agg(F.count(F.lit(1)).alias("n"))
+        for end, other in (("from_path", "to_ref"), ("to_ref", "from_path")):
+            hot = hot_keys(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("n")), end, "n")
+            inside = salted_join(inside, hits.select(F.col("path").alias(end)), end, F.col(other), hot, "left_semi")
+    d = inside.select(F.explode(F.array("from_path", "to_ref")).alias("path"), "n").groupBy("path").agg(F.sum("n").alias("_d"))
     return hits.join(d, "path", "left").withColumn("score", F.col("score") * F.when(F.col("_d") >= 2, 1.05).otherwise(1.0)).drop("_d")
 
 
-def cross_source_signal(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """score x 1.10 for hits that links of two kinds, or from two sources, lead to."""
+def cross_source_signal(hits: DataFrame, links: DataFrame, few: bool = False) -> DataFrame:
+    """score x 1.10 for hits that links of two kinds, or from two sources, lead to. ``few``: the hits are a top-k and may be broadcast."""
     named = hits.select("path", F.explode(F.array("path", T.basename(F.col("path")))).alias("to_ref"))
-    into = links.join(F.broadcast(named), "to_ref").groupBy("path").agg(F.count_distinct("source").alias("_k"), F.count_distinct(T.source_prefix(F.col("from_path"))).alias("_p"))
-    return hits.join(into, "path", "left").withColumn("score", F.col("score") * F.when((F.col("_k") >= 2) | (F.col("_p") >= 2), 1.10).otherwise(1.0)).drop("_k", "_p")
+    # two kinds differ in their least and greatest: one row for each target, however many links
+    ends = lambda *cs: [f(c).alias(f"{n}{c}") for c in cs for f, n in ((F.min, "_lo"), (F.max, "_hi"))]
+    into = links.select("to_ref", "source", T.source_prefix(F.col("from_path")).alias("prefix"))
+    if few:
+        into = into.join(F.broadcast(named), "to_ref").groupBy("path").agg(*ends("source", "prefix"))
+    else:
+        into = into.groupBy("to_ref").agg(*ends("source", "prefix"))
+        hot = hot_keys(named.groupBy("to_ref").agg(F.count(F.lit(1)).alias("n")), "to_ref", "n")
+        met = salted_join(named, into, "to_ref", F.col("path"), hot)
+        into = met.groupBy("path").agg(*[f(c).alias(c) for c in ("_losource", "_loprefix", "_hisource", "_hiprefix") for f in [F.min if c.startswith("_lo") else F.max]])
+    two = (F.col("_losource") != F.col("_hisource")) | (F.col("_loprefix") != F.col("_hiprefix"))
+    return hits.join(into.select("path", two.alias("_two")), "path", "left").withColumn("score", F.col("score") * F.when(F.col("_two"), 1.10).otherwise(1.0)).drop("_two")
 
 
 def diversified(hits: DataFrame) -> DataFrame:

@@ -51,7 +51,7 @@ def hybrid_search(
         hits = X.cosine_rescored(hits.join(cos, "path", "left"), opts.cosine_share).drop("cos")
     hits = cut(hits)
     if links is not None:
-        hits = X.cross_source_signal(X.hub_signal(hits, links), links)
+        hits = X.cross_source_signal(X.hub_signal(hits, links, few=True), links, few=True)
     hits = X.diversified(hits)
     meta = pages.select("path", "title", "updated_at", T.snippet(F.col("body_text"), query).alias("snippet"))
     hits = X.heated(meta.join(F.broadcast(hits), "path"), now, opts)

@@ -120,3 +120,41 @@ def test_batch_vectors(spark):
         pooled = np.maximum.reduceat(u @ u[q], np.arange(0, 60, 2))
         assert [r["path"] for r in got.where(f"query_id = {q}").orderBy("rank").collect()] == [f"p{i:02}" for i in np.argsort(-pooled)[:3]]
     assert batch_vector_search(spark.createDataFrame(rows, "path string, embedding array<float>").limit(0), spark.createDataFrame([(1, [1.0] * 8)], "query_id long, vector array<float>")).count() == 0
+
+
+def test_more_queries_than_a_block(spark):
+    import numpy as np
+
+    from corpusloom.operators.semantic import batch_vector_search
+
+    x = np.random.default_rng(3).normal(size=(300, 8)).astype("float32")
+    pages_ = [f"p{i // 3}" if i % 4 else "hot" for i in range(300)]
+    chunks = spark.createDataFrame([(p, v.tolist()) for p, v in zip(pages_, x, strict=True)] + [("bad", [float("nan")] * 8), (None, [1.0] * 8)], "path string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 300, 7)], "query_id long, vector array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = batch_vector_search(chunks, queries, 4, block=10).collect()
+    assert len(got) == 4 * 43
+    for i in range(0, 300, 7):
+        best = {"bad": 0.0}
+        for p, s in zip(pages_, u @ u[i], strict=True):
+            best[p] = max(best.get(p, -2), float(s))
+        assert [r["path"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == i] == sorted(best, key=lambda p: -best[p])[:4]
+
+
+def test_signals_broadcast_nothing_that_grows(spark, capfd):
+    from corpusloom.operators import fusion as X
+
+    hits = spark.createDataFrame([(f"brains/a/sources/s/{x}.md", 1.0) for x in "abcd"], "path string, score double")
+    to = lambda x: f"brains/a/sources/s/{x}.md"
+    links = spark.createDataFrame([(to("a"), to("b"), "wiki"), (to("a"), to("b"), "wiki"), (to("c"), "d", "wiki"), ("brains/a/sources/t/x.md", to("d"), "wiki"), (to("a"), "gone", "x")], "from_path string, to_ref string, source string")
+    for few in (False, True):
+        assert {r["path"][-4] for r in X.hub_signal(hits, links, few).collect() if r["score"] > 1} == {"a", "b"}
+        assert {r["path"][-4] for r in X.cross_source_signal(hits, links, few).collect() if r["score"] > 1} == {"d"}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for f in (X.hub_signal, X.cross_source_signal):
+            capfd.readouterr()
+            f(hits, links).explain()
+            assert "Broadcast" not in capfd.readouterr().out
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
