@@ -25,18 +25,25 @@ def undistilled(sources: DataFrame, experiences: DataFrame) -> DataFrame:
 def outcome_fold(outcomes: DataFrame, key: str, at: str, success: Column, start: float = START) -> DataFrame:
     """(key, eta, support, failures, archived): outcomes of a key in order, eta kept within 0 and 1 after every step.
 
-    A step x -> clamp(x + d) is no sum, but such steps compose to x -> clamp(x + a, lo, hi). So each day of a key is
-    composed on its own, and then the days of a key: a key with very many outcomes never gathers them in one array.
+    A step x -> clamp(x + d) is no sum, but such steps compose to x -> clamp(x + a, lo, hi). So equal outcomes of one instant
+    are counted, and instants composed by hundredths of a second (at most 20,000 of them), these by minutes (6,000), minutes
+    by days (1,440), and then the days of a key: no array holds more, however many outcomes a key has.
     """
     bound = lambda x, lo, hi: F.greatest(lo, F.least(hi, x))
     none = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
     then = lambda f, g: F.struct((f["a"] + g["a"]).alias("a"), bound(f["lo"] + g["a"], g["lo"], g["hi"]).alias("lo"), bound(f["hi"] + g["a"], g["lo"], g["hi"]).alias("hi"))
-    step = F.struct(F.when(success, SUCCESS).otherwise(FAILURE).alias("a"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
-    o = outcomes.select(key, F.to_date(at).alias("_day"), F.struct(F.col(at).alias("t"), success.alias("ok"), step.alias("f")).alias("_o"), success.alias("_ok"))
-    days = o.groupBy(key, "_day").agg(F.aggregate(F.array_sort(F.collect_list("_o")), none, lambda f, x: then(f, x["f"])).alias("f"), F.sum(F.col("_ok").cast("long")).alias("s"), F.sum((~F.col("_ok")).cast("long")).alias("x"))
-    whole = days.groupBy(key).agg(F.aggregate(F.array_sort(F.collect_list(F.struct("_day", "f"))), none, lambda f, x: then(f, x["f"])).alias("f"), F.sum("s").alias("support"), F.sum("x").alias("failures"))
+    zero, one, d = F.lit(0.0), F.lit(1.0), F.col("_n") * F.when(F.col("_ok"), SUCCESS).otherwise(FAILURE)
+    us = F.unix_micros(F.col(at).cast("timestamp"))
+    o = outcomes.select(key, us.alias("_t"), success.alias("_ok")).groupBy(key, "_t", "_ok").agg(F.count(F.lit(1)).alias("_n"))
+    o = o.select(key, "_t", F.struct(F.col("_t").alias("t"), F.col("_ok").alias("ok")).alias("_at"), F.struct(d.alias("a"), bound(d, zero, one).alias("lo"), bound(one + d, zero, one).alias("hi")).alias("f"), F.when(F.col("_ok"), F.col("_n")).otherwise(0).alias("s"), F.when(~F.col("_ok"), F.col("_n")).otherwise(0).alias("x"))
+    composed = F.aggregate(F.array_sort(F.collect_list(F.struct("_at", "f"))), none, lambda f, x: then(f, x["f"])).alias("f")
+    for size in (10_000, 60_000_000, 86_400_000_000, None):
+        piece = [F.floor(F.col("_t") / size).cast("long").alias("_p")] if size else []
+        o = o.groupBy(key, *piece).agg(composed, F.sum("s").alias("s"), F.sum("x").alias("x"))
+        if size:
+            o = o.select(key, (F.col("_p") * size).alias("_t"), F.struct(F.col("_p").alias("t"), F.lit(True).alias("ok")).alias("_at"), "f", "s", "x")
     eta = bound(F.lit(start) + F.col("f.a"), F.col("f.lo"), F.col("f.hi"))
-    return whole.select(key, eta.alias("eta"), "support", "failures", (eta < ARCHIVE_BELOW).alias("archived"))
+    return o.select(key, eta.alias("eta"), F.col("s").alias("support"), F.col("x").alias("failures"), (F.round(eta, 9) < ARCHIVE_BELOW).alias("archived"))
 
 
 def mature(eta: Column, support: Column, counter_examples: Column) -> Column:

@@ -105,8 +105,20 @@ def layered(pages: DataFrame) -> DataFrame:
     return own.join(side, "path", "left").select("path", l0.alias("l0"), F.coalesce("_side", T.overview_of(F.col("body_text"))).alias("l1"), F.col("body_text").alias("l2"))
 
 
+def directory_titles(pages: DataFrame, least: int = 2) -> DataFrame:
+    """(dir, place, title): the titles of ``directory_overviews`` as rows, for folders of any size."""
+    from pyspark.sql import Window
+
+    t = pages.select(T.parent_dir(F.col("path")).alias("dir"), F.coalesce("title", F.lit("")).alias("title"))
+    full = t.groupBy("dir").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("dir")
+    return t.join(full, "dir", "left_semi").select("dir", F.row_number().over(Window.partitionBy("dir").orderBy("title")).alias("place"), "title")
+
+
 def directory_overviews(pages: DataFrame, least: int = 2) -> DataFrame:
-    """(dir, n, titles): folders of at least ``least`` pages with their titles in order, one line each."""
+    """(dir, n, titles): folders of at least ``least`` pages with their titles in order, one line each.
+
+    A folder's titles are one value, so it must fit in memory; ``directory_titles`` has them as rows.
+    """
     g = pages.groupBy(T.parent_dir(F.col("path")).alias("dir")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.coalesce("title", F.lit("")))).alias("titles"))
     return g.where(F.col("n") >= least).select("dir", "n", F.array_join("titles", "\n").alias("titles"))
 

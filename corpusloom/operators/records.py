@@ -55,8 +55,16 @@ def mentions(links: DataFrame, records: DataFrame) -> DataFrame:
     return salted_join(bare, named, "_key", F.col("id"), hot).select("id", "slug")
 
 
-def merged_records(records: DataFrame) -> DataFrame:
-    """(brain_id, target, n, slugs, aliases): what merging makes of the records that redirect to a target."""
+def merged_members(records: DataFrame) -> DataFrame:
+    """(brain_id, target, slug, alias): what merging puts together, a row for each alias and at least one for each record."""
     r = resolved(records).join(records.select("brain_id", "slug", F.coalesce(F.from_json("aliases_json", "array<string>"), F.array().cast("array<string>")).alias("a")), ["brain_id", "slug"])
-    each = r.select("brain_id", "target", "slug", F.explode_outer("a").alias("alias"))
-    return each.groupBy("brain_id", "target").agg(F.count_distinct("slug").alias("n"), F.array_sort(F.collect_set("slug")).alias("slugs"), F.array_sort(F.collect_set("alias")).alias("aliases")).where("n > 1")
+    return r.select("brain_id", "target", "slug", F.explode_outer("a").alias("alias"))
+
+
+def merged_records(records: DataFrame) -> DataFrame:
+    """(brain_id, target, n, slugs, n_aliases): what merging makes of the records that redirect to a target.
+
+    The slugs of a target are one value and must fit in memory; ``merged_members`` has them, and the aliases, as rows.
+    """
+    g = merged_members(records).groupBy("brain_id", "target").agg(F.count_distinct("slug").alias("n"), F.count_distinct("alias").cast("int").alias("n_aliases"), F.array_sort(F.collect_set("slug")).alias("slugs"))
+    return g.where("n > 1").select("brain_id", "target", "n", "slugs", "n_aliases")

@@ -68,6 +68,6 @@ def search_key(query: str, brain_id: str | None, opts: X.Options, **filters) ->
 
 
 def think(hits: DataFrame) -> DataFrame:
-    """(bucket, n, paths): hits as skills, experiences and notes, the best first."""
-    ranked = F.transform(F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), "path"))), lambda x: x["path"])
-    return hits.groupBy(T.bucket(F.col("path")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), ranked.alias("paths"))
+    """(bucket, n, best): how many hits are skills, experiences and notes, and the best of each. The hits themselves stay rows."""
+    place = F.struct((-F.round("score", 9)).alias("s"), "path")
+    return hits.groupBy(T.bucket(F.col("path")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min(place)["path"].alias("best"))

@@ -169,7 +169,7 @@ def record_mentions(spark, d):
 
 def merged_records(spark, d):
     m = records.merged_records(current(spark, d))
-    return m.select("brain_id", "target", "n", F.array_join("slugs", ",").alias("slugs"), F.size("aliases").alias("n_aliases"))
+    return m.select("brain_id", "target", "n", F.array_join("slugs", ",").alias("slugs"), "n_aliases")
 
 
 def name_counts(spark, d):

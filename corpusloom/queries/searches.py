@@ -149,7 +149,7 @@ def hybrid_search(spark, d):
 
 def think(spark, d):
     h = keyword.keyword_scores(active(spark, d), QUERY)
-    return search.think(h).select("bucket", "n", F.element_at("paths", 1).alias("best"))
+    return search.think(h)
 
 
 def tie_order(spark, d):

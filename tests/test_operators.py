@@ -186,3 +186,38 @@ def test_revert(spark):
     pages = spark.createDataFrame([("a", "new"), ("b", "made"), ("c", "kept")], "path string, body_text string")
     diffs = spark.createDataFrame([("merge", "a", "old"), ("create", "b", None)], "op string, path string, before string")
     assert {tuple(r) for r in distillation.reverted(pages, diffs).collect()} == {("a", "old"), ("c", "kept")}
+
+
+def test_no_group_is_gathered_whole(spark):
+    """think and outcome_fold over one hot group: no aggregate buffer grows with it."""
+    import random
+    from datetime import datetime, timedelta
+
+    from corpusloom.operators import distillation
+    from corpusloom.plans.search import think
+
+    hits = spark.createDataFrame([(f"a/skills/{i}.md", float(i % 7)) for i in range(50)] + [("a/n.md", 1.0)], "path string, score double")
+    assert {tuple(r) for r in think(hits).collect()} == {("skills", 50, "a/skills/13.md"), ("notes", 1, "a/n.md")}
+    assert "collect_list" not in think(hits)._jdf.queryExecution().optimizedPlan().toString()
+
+    rng, t0 = random.Random(2), datetime(2026, 1, 1)
+    log = [(k, t0 + timedelta(microseconds=rng.choice([0, 7, 9_999, 10_000, 59_999_999, 60_000_000, rng.randrange(3 * 86_400_000_000)])), rng.random() < 0.6) for k in range(3) for _ in range(400)]
+    got = {r["k"]: r for r in distillation.outcome_fold(spark.createDataFrame(log, "k int, t timestamp, ok boolean"), "k", "t", F.col("ok")).collect()}
+    for k in range(3):
+        eta = 0.5
+        for _, _, ok in sorted(x for x in log if x[0] == k):
+            eta = min(1.0, max(0.0, eta + (0.1 if ok else -0.2)))
+        assert abs(got[k]["eta"] - eta) < 1e-9 and got[k]["support"] == sum(x[2] for x in log if x[0] == k) and got[k]["support"] + got[k]["failures"] == 400
+    same = spark.createDataFrame([(1, t0, True)] * 500, "k int, t timestamp, ok boolean")
+    plan = distillation.outcome_fold(same, "k", "t", F.col("ok"))
+    assert plan.first()["eta"] == 1.0 and plan._jdf.queryExecution().optimizedPlan().toString().count("collect_list") == 4  # bounded pieces: one array a level
+
+
+def test_lists_of_a_group_as_rows(spark):
+    from corpusloom.operators import pages as P
+
+    t = spark.createDataFrame([("a/1.md", "y"), ("a/2.md", None), ("a/3.md", "x"), ("b/1.md", "z")], "path string, title string")
+    assert {tuple(r) for r in P.directory_titles(t).collect()} == {("a", 1, ""), ("a", 2, "x"), ("a", 3, "y")}
+    r = spark.createDataFrame([("b", "old", "merged", "new", '["O", "N"]'), ("b", "new", "active", "new", '["N"]'), ("b", "z", "active", "z", None)], "brain_id string, slug string, status string, canonical_slug string, aliases_json string")
+    assert {tuple(x) for x in records.merged_members(r).collect()} == {("b", "new", "old", "O"), ("b", "new", "old", "N"), ("b", "new", "new", "N"), ("b", "z", "z", None)}
+    assert [tuple(x) for x in records.merged_records(r).collect()] == [("b", "new", 2, ["new", "old"], 2)]
