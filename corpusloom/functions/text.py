@@ -26,8 +26,10 @@ def words(text: Column) -> Column:
 def bigrams(text: Column) -> Column:
     """Overlapping pairs of characters of the text without white space; a shorter text is its own gram."""
     t = F.regexp_replace(text, r"\s+", "")
-    n = F.length(t)
-    return F.when(n <= 1, F.filter(F.array(t), lambda x: x != "")).otherwise(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(t, i, F.lit(2))))
+    # pairs of two arrays: a lambda over places would cleanse the whole text again for each of them
+    c = F.regexp_extract_all(t, F.lit("(?s)."), F.lit(0))
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    return F.when(F.length(t) <= 1, F.filter(F.array(t), lambda x: x != "")).otherwise(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b)))
 
 
 def has_all_bigrams(text: Column, query: Column) -> Column:

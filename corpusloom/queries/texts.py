@@ -17,6 +17,12 @@ def bigram_tokens(spark, d):
     return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+def text_bigram_tokens(spark, d):
+    """The same over whole texts: counted before the shuffle."""
+    g = table(spark, d, "documents").select(F.explode(T.bigrams(F.lower(F.coalesce("text", F.lit(""))))).alias("gram"))
+    return g.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
 def snippets(spark, d):
     return pages(spark, d).select("path", T.snippet(F.col("body_text"), "queue").alias("snippet"))
 
@@ -55,6 +61,12 @@ def hash_embedding(spark, d):
     return p.select("path", F.transform(v, lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 
+def text_hash_embedding(spark, d):
+    """The vector of every chunk's whole text, of the usual size."""
+    v = V.hash_embedding(T.bigrams(F.lower(F.coalesce("text", F.lit("")))))
+    return table(spark, d, "chunks").select("id", F.transform(v, lambda x: F.round(x.cast("double"), 4)).alias("vector"))
+
+
 def wikilinks(spark, d):
     return linking.wikilinks(pages(spark, d).where("body_text is not null"))
 
@@ -115,7 +127,7 @@ def token_estimates(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        bigram_tokens, snippets, slug_paths, new_paths, content_hashes, chunk_text, term_statistics, postings_sizes, hash_embedding, wikilinks, extracted_links, page_issues, layers, directory_tree, directory_overviews, lint,
+        bigram_tokens, text_bigram_tokens, snippets, slug_paths, new_paths, content_hashes, chunk_text, term_statistics, postings_sizes, hash_embedding, text_hash_embedding, wikilinks, extracted_links, page_issues, layers, directory_tree, directory_overviews, lint,
         exact_copies, page_facts, sourced_facts, repeated_facts, contradicting_numbers, token_estimates,
     )
 }

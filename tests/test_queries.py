@@ -32,3 +32,33 @@ def test_llm_is_not_imported_by_the_rest():
         for node in ast.walk(ast.parse(p.read_text())):
             names = [a.name for a in node.names] if isinstance(node, ast.Import) else [node.module or ""] if isinstance(node, ast.ImportFrom) else []
             assert not any("corpusloom.llm" in n for n in names), p
+
+
+def test_bigrams_and_embeddings_of_whole_texts(spark, tmp_path):
+    from collections import Counter
+
+    from corpusloom.queries import all_queries
+
+    texts = ["", None, "a", " 会话 队列 ", "Retry\nQueue 重试" * 3, "x\u3000y", "ab " * 20_000]
+    d = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string").write.parquet(f"{d}/chunks.parquet")
+
+    def grams(t):
+        t = "".join(c for c in (t or "").lower() if c not in " \n\t")
+        return [t] if len(t) == 1 else [t[i : i + 2] for i in range(len(t) - 1)]
+
+    def vector(t):
+        v = [0.0] * 64
+        for g in grams(t):
+            h = 2166136261
+            for c in g:
+                h = ((h ^ ord(c)) * 16777619) & 0xFFFFFFFF
+            v[h % 64] += 1 if h % 2 == 0 else -1
+        n = sum(x * x for x in v) ** 0.5
+        return [x / n if n else 0.0 for x in v]
+
+    got = {r["gram"]: r["n"] for r in all_queries()["text_bigram_tokens"](spark, d).collect()}
+    assert got == Counter(g for t in texts for g in grams(t))
+    for r in all_queries()["text_hash_embedding"](spark, d).collect():
+        assert max(abs(a - b) for a, b in zip(r["vector"], vector(texts[int(r["id"])]), strict=True)) < 1e-4
