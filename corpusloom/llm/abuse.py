@@ -11,11 +11,11 @@ the model contradicts strongly (raters err) are left out of the last rounds. The
 the quarter of the labelled documents that is held out.
 
 * Fitting takes at most TRAIN_BAD offensive and TRAIN_GOOD other labelled documents (documented bound), chosen by a hash
-  of their ids.
+  of their ids; it is one task, and its model is shared by the queries of a session.
 * Scoring is one pass in place over all documents, whole texts: n-grams are rolling hashes over an array of code points,
   so it costs a few array operations per n. No shuffle but the small one of rates per source.
 
-Cases: null, empty and blank texts score 0 of probability; labels null or ``unsure`` don't count, ties leave a document
+Cases: null, empty and blank texts score 0 of probability; a sentence may be a single character; labels null or ``unsure`` don't count, ties leave a document
 out; spellings with look-alike letters, digits for letters, stretched, spaced or dotted letters and invisible characters
 are read as the plain word; a null source is a source of its own; without labels of both kinds all scores are 0.
 """
@@ -39,6 +39,7 @@ LONG = 240
 #: Labels that the model contradicts by so much (in logits) are taken for errors.
 TRUST = 2.0
 BAD = ("abusive", "hateful", "sexual")
+_FITTED: list[tuple] = []
 
 #: Letters of other scripts that look like Latin ones, and signs written for letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏԛԝвнкмтαβεικνορτυχγѵ", "aeopcyxijsdhlqwbhkmtabeiknoptuxyv")
@@ -52,6 +53,7 @@ _HAN_GAP = re.compile(rf"(?<=[{_HAN}])[ *._\-~|·]+(?=[{_HAN}])")
 _MIXED = re.compile(r"(?<![\w@$!])(?=[\w@$!]*[a-z])(?=[\w@$!]*[0134578@$!])[\w@$!]*[\w@$](?![\w@$])")
 _STRETCH = re.compile(r"([^\W\d_])\1{2,}")
 _DIGITS = re.compile(r"\d+")
+_SIGNS = re.compile(r"[\s!-@\[-`{-~]*")
 _SENTENCE = re.compile(r"[^.!?。！？；;\n\r]+[.!?。！？；;]*")
 
 
@@ -77,13 +79,15 @@ def normal(text: str) -> str:
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a text; one beyond LONG characters as overlapping stretches."""
+    """The sentences of a text but those of digits and ASCII signs alone; one beyond LONG characters as overlapping stretches."""
     out = []
     for m in _SENTENCE.finditer(text):
         s = m[0].strip()
-        if 2 < len(s) <= LONG:
+        if _SIGNS.fullmatch(s):
+            continue
+        if len(s) <= LONG:
             out.append(s)
-        elif len(s) > LONG:
+        else:
             out += [s[i : i + LONG] for i in range(0, len(s) - LONG // 4, LONG * 3 // 4)]
     return out
 
@@ -130,6 +134,9 @@ class Fit:
             r.append((a + at).astype(np.int32))
             c.append(b.astype(np.int32))
         self.rows, self.cols = np.concatenate(r), np.concatenate(c)
+        by = np.argsort(self.rows, kind="stable")
+        self.rows, self.cols = self.rows[by], self.cols[by]
+        self.by_col = np.argsort(self.cols, kind="stable").astype(np.int32)
         self.size = np.bincount(self.rows, minlength=len(parts))
         self.start = np.cumsum(self.size) - self.size
         self.parts = parts
@@ -180,22 +187,33 @@ class Fit:
         spread = np.bincount(self.cols, weights=((pos + neg) > 0)[self.rows], minlength=BUCKETS)
         keep = ((pos + neg)[self.rows] > 0) & (spread[self.cols] > 2)  # an n-gram of two sentences is most often a name
         rows, cols = self.rows[keep], self.cols[keep]
-        used, at = np.unique(cols, return_inverse=True)
-        x = (r[used][at] / np.sqrt(self.size[rows])).astype(np.float32)
-        weight = pos / max(pos.sum(), 1) + neg / max(neg.sum(), 1)
-        y = np.where(pos > 0, 1.0, 0.0)
-        k = len(self.size)
-        w, v, b, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-        norm = np.bincount(rows, weights=x.astype(float) ** 2, minlength=k)
+        # places in the arrays of kept n-grams and kept sentences
+        has_col, has_row = np.zeros(BUCKETS, bool), np.zeros(len(self.size), bool)
+        has_col[cols], has_row[rows] = True, True
+        used, sents = np.flatnonzero(has_col), np.flatnonzero(has_row)
+        col_at, row_at = (np.cumsum(h).astype(np.int32) - 1 for h in (has_col, has_row))
+        at = col_at[cols]
+        scale = (1 / np.sqrt(np.maximum(self.size, 1))).astype(np.float32)
+        ratio = r.astype(np.float32)
+        x = ratio[cols] * scale[rows]
+        weight = (pos / max(pos.sum(), 1) + neg / max(neg.sum(), 1))[sents].astype(np.float32)
+        y = (pos[sents] > 0).astype(np.float32)
+        # the same numbers in the order of sentences and in the order of n-grams: both sums are over stretches
+        by_sent = np.flatnonzero(np.diff(rows, prepend=-1))
+        order = self.by_col[keep[self.by_col]]
+        cols_t, rows_t = self.cols[order], self.rows[order]
+        xt, owner_t, by_gram = ratio[cols_t] * scale[rows_t], row_at[rows_t], np.flatnonzero(np.diff(cols_t, prepend=-1))
+        w, v, b, vb = np.zeros(len(used), np.float32), np.zeros(len(used), np.float32), 0.0, 0.0
+        norm = np.add.reduceat(x.astype(float) ** 2, by_sent)
         rate = 4.0 / max(1e-6, np.max(norm * weight) * 2 + 1e-9)
-        rate = min(rate, 4.0 / (np.average(norm + 1, weights=weight) + 1e-9))
+        rate = np.float32(min(rate, 4.0 / (np.average(norm + 1, weights=weight) + 1e-9)))
         for step in range(1, steps + 1):
-            z = np.bincount(rows, weights=x * w[at], minlength=k) + b
+            z = np.add.reduceat(x * w[at], by_sent) + np.float32(b)
             g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
-            gw = np.bincount(at, weights=x * g[rows], minlength=len(used)) + l2 * w
-            nv, nb = w - rate * gw, b - rate * g.sum()
+            gw = np.add.reduceat(xt * g[owner_t], by_gram) + np.float32(l2) * w
+            nv, nb = w - rate * gw, b - float(rate) * float(g.sum())
             m = (step - 1) / (step + 2)
-            w, v, b, vb = nv + m * (nv - v), nv, nb + m * (nb - vb), nb
+            w, v, b, vb = nv + np.float32(m) * (nv - v), nv, nb + m * (nb - vb), nb
         full = np.zeros(BUCKETS)
         full[used] = v * r[used]
         return full, float(vb)
@@ -241,21 +259,47 @@ def judge(texts: list[str | None], w: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def labelled(documents: DataFrame, doc_labels: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Texts and verdicts of a bounded sample of the labelled documents: the majority of raters, ties left out."""
+def labelled(documents: DataFrame, doc_labels: DataFrame) -> DataFrame:
+    """(doc_id, text, bad) of a bounded sample of the labelled documents: the majority of raters, ties left out."""
     bad = F.sum(F.col("label").isin(*BAD).cast("int"))
     votes = doc_labels.groupBy("doc_id").agg(bad.alias("b"), F.sum((F.col("label") == "ok").cast("int")).alias("o")).where("coalesce(b, 0) <> coalesce(o, 0)")
     votes = votes.select("doc_id", (F.coalesce("b", F.lit(0)) > F.coalesce("o", F.lit(0))).alias("bad"))
     some = votes.where("bad").orderBy(F.xxhash64("doc_id")).limit(TRAIN_BAD).unionByName(votes.where("not bad").orderBy(F.xxhash64("doc_id")).limit(TRAIN_GOOD))
-    rows = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").collect()
-    rows = sorted({(r["doc_id"], r["text"], r["bad"]) for r in rows}, key=lambda r: (hash((r[0], 17)), r[1]))
-    return [r[1] for r in rows], np.array([r[2] for r in rows], bool)
+    return documents.select("doc_id", "text").where("text is not null").join(F.broadcast(some), "doc_id").distinct()
+
+
+def fitted(documents: DataFrame, doc_labels: DataFrame) -> tuple[np.ndarray, float, float]:
+    """``learn`` on the labelled sample, in a task; only the model (1 MB) comes to the driver.
+
+    Queries of one session over the same tables share a model: it is fitted once.
+    """
+    docs, labels = documents.select("doc_id", "text"), doc_labels.select("doc_id", "label")
+    app = documents.sparkSession.sparkContext.applicationId
+    for at, d, v, model in _FITTED:
+        if at == app and d.sameSemantics(docs) and v.sameSemantics(labels):
+            return model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        rows.sort(key=lambda r: (hash((r[0], 17)), r[1]))
+        if rows:
+            w, bias, threshold = learn([r[1] for r in rows], np.array([r[2] for r in rows], bool))
+            used = np.flatnonzero(w)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([used, [-1, -2]]), pa.int32()), pa.array(np.concatenate([w[used], [bias, threshold]]), pa.float64())], names=["bucket", "weight"])
+
+    got = labelled(documents, doc_labels).repartition(1).mapInArrow(run, "bucket int, weight double").toArrow()
+    at, value = got["bucket"].to_numpy(), got["weight"].to_numpy()
+    w = np.zeros(BUCKETS, np.float32)
+    w[at[at >= 0]] = value[at >= 0]
+    model = (w, float(value[at == -1][0]), float(value[at == -2][0])) if len(at) else (w, -30.0, 0.0)
+    _FITTED.append((app, docs, labels, model))
+    del _FITTED[:-4]
+    return model
 
 
 def scores(documents: DataFrame, doc_labels: DataFrame) -> DataFrame:
     """(doc_id, source, score, flagged): one row per row of ``documents``. score is a probability, 0.5 at the threshold."""
-    texts, bad = labelled(documents, doc_labels)
-    shared = documents.sparkSession.sparkContext.broadcast(learn(texts, bad) if len(texts) else (np.zeros(BUCKETS, np.float32), -30.0, 0.0))
+    shared = documents.sparkSession.sparkContext.broadcast(fitted(documents, doc_labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias, threshold = shared.value

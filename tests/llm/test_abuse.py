@@ -44,6 +44,24 @@ def test_normal():
     assert all(len(s) <= abuse.LONG for s in abuse.sentences("x" * 10_000)) and abuse.sentences("") == []
 
 
+def test_short_sentences_are_scored():
+    assert abuse.sentences(abuse.normal("傻逼")) == ["傻逼"] and abuse.sentences("贱人\n好。a") == ["贱人", "好。", "a"]
+    docs, bad = corpus()
+    docs, bad = [*docs, *[f"{n}的缓存。\n傻逼\n我们归档了{n}。" for n in NAMES]], np.concatenate([bad, np.ones(10, bool)])
+    w, bias, threshold = abuse.learn(docs, bad)
+    assert abuse.judge(["傻逼"], w, bias)[0] > threshold >= abuse.judge(["缓存"], w, bias)[0]
+
+
+def test_fitted_once(spark, monkeypatch):
+    docs, bad = corpus()
+    d, v = tables(spark, [(i, "s", t) for i, t in enumerate(docs)], [(i, "abusive" if b else "ok") for i, b in enumerate(bad)])
+    calls, real = [], abuse.labelled
+    monkeypatch.setattr(abuse, "labelled", lambda *a: calls.append(1) or real(*a))
+    first, again = abuse.fitted(d, v), abuse.fitted(d.select("*"), v)
+    assert first is again and len(calls) == 1
+    assert abuse.fitted(d.where("doc_id > 3"), v) is not first and len(calls) == 2
+
+
 def tables(spark, docs, labels):
     d = spark.createDataFrame(docs, "doc_id long, source string, text string").withColumns({c: F.lit("x") for c in ("score", "flagged", "bad", "b", "o", "label")})
     return d, spark.createDataFrame(labels, "doc_id long, label string").withColumn("text", F.lit("clash"))
