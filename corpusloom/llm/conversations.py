@@ -21,11 +21,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.session import stored
+
 #: Inactivity in seconds after which a user's message lacks its reply. ``calibrated_gap`` measures it on a corpus.
 GAP_S = 600
 BLOCK = 4096
 #: Cut points of sessions that exceed BLOCK.
 CUTS = 1000
+#: Parts into which the messages of one session are dealt before its cut points are known.
+GAP_PARTS = 64
 SPACE = r"[\s\p{Z}\p{Cc}\p{Cf}]"
 MEMO = r"(?is)<[a-z]+-memory-context\b[^>]*>.*?</[a-z]+-memory-context>"
 STAMP = r"^\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{1,2}(:\d{1,2}([.,]\d+)?)?)?$"
@@ -70,9 +74,21 @@ def _block(turn: Column) -> Column:
     return F.floor((turn - 1) / BLOCK).cast("int")
 
 
+def _cuts() -> Column:
+    return F.array_sort(F.array_distinct(F.percentile_approx("at", [i / CUTS for i in range(1, CUTS)], CUTS * 10))).alias("cuts")
+
+
+def _bucketed(m: DataFrame) -> DataFrame:
+    """``bucket`` and ``part`` by ``at`` and ``cuts``: in the order of instants; what lies on a cut is a bucket of its own, split by ``block``."""
+    below = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("at"))), F.lit(0))
+    shared = F.coalesce(F.array_contains("cuts", F.col("at")), F.lit(False))
+    m = m.withColumn("bucket", F.when(F.col("cuts").isNull() | F.col("at").isNull(), F.lit(0)).otherwise(2 * below + shared.cast("int") + 1))
+    return m.withColumn("part", F.when(shared | F.col("at").isNull(), F.col("block")).otherwise(F.lit(0)))
+
+
 def kept_messages(turns: DataFrame, inbox_meta: DataFrame, gap_s: int = GAP_S) -> DataFrame:
     """(session_id, pos, turn_id, role, at): every message of every kept conversation in order."""
-    msg = _messages(turns)
+    msg = stored(_messages(turns))  # read twice: once for the numbering, once for the order
     meta = inbox_meta.select(F.regexp_replace("session_id", rf"^{SPACE}+|{SPACE}+$", "").alias("session_id")).distinct()
     sound = (
         msg.groupBy("session_id")
@@ -94,13 +110,9 @@ def kept_messages(turns: DataFrame, inbox_meta: DataFrame, gap_s: int = GAP_S) -
 
     # buckets in the order of instants; only sessions beyond one block have more than one
     long_ = m.where(F.col("n") > BLOCK)
-    cuts = long_.groupBy("session_id", "n").agg(F.array_sort(F.array_distinct(F.percentile_approx("at", [i / CUTS for i in range(1, CUTS)], CUTS * 10))).alias("cuts"))
+    cuts = long_.groupBy("session_id", "n").agg(_cuts())
     cuts = cuts.select("session_id", "cuts", F.explode(F.sequence(F.lit(0), _block(F.col("n")))).alias("block"))
-    m = m.join(cuts, ["session_id", "block"], "left")
-    below = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("at"))), F.lit(0))
-    shared = F.coalesce(F.array_contains("cuts", F.col("at")), F.lit(False))
-    m = m.withColumn("bucket", F.when(F.col("cuts").isNull() | F.col("at").isNull(), F.lit(0)).otherwise(2 * below + shared.cast("int") + 1))
-    m = m.withColumn("part", F.when(shared | F.col("at").isNull(), F.col("block")).otherwise(F.lit(0))).where(~F.col("blank"))
+    m = _bucketed(m.join(cuts, ["session_id", "block"], "left")).where(~F.col("blank"))
 
     place = ["session_id", "bucket", "part"]
     order = Window.partitionBy(*place).orderBy(F.col("at").asc_nulls_first(), "turn")
@@ -132,8 +144,25 @@ def conversations(turns: DataFrame, inbox_meta: DataFrame, gap_s: int = GAP_S) -
 
 
 def calibrated_gap(turns: DataFrame, share: float = 0.995) -> DataFrame:
-    """(role, gap_s, n): the quantile of the silence before a message, by role; what GAP_S is to be held against."""
-    m = _messages(turns).where("role is not null and not blank and at is not null").withColumn("block", _block(F.col("turn")))
-    w = Window.partitionBy("session_id", "block").orderBy("turn")
-    gaps = m.withColumn("gap", (F.col("at") - F.lag("at").over(w)) / 1e6).where("gap >= 0")
+    """(role, gap_s, n): the quantile of the silence before a message, by role; what GAP_S is to be held against.
+
+    Messages of a session in the order of instants, then turn; blank ones and those without a readable instant or a known
+    role are left out. Every message but the first of its session has a gap, across the borders of buckets too.
+    """
+    m = stored(_messages(turns).where("role is not null and not blank and at is not null"))
+    m = m.withColumn("block", F.pmod(F.xxhash64("turn_id"), F.lit(GAP_PARTS)).cast("int"))
+    size = m.groupBy("session_id", "block").agg(F.count(F.lit(1)).alias("n")).groupBy("session_id").agg(F.sum("n").alias("n")).where(F.col("n") > BLOCK)
+    every = F.explode(F.sequence(F.lit(0), F.lit(GAP_PARTS - 1))).alias("block")
+    long_ = m.join(size.select("session_id", every), ["session_id", "block"])
+    cuts = long_.groupBy("session_id").agg(_cuts()).select("session_id", "cuts", every)
+    m = _bucketed(m.join(cuts, ["session_id", "block"], "left"))
+    place = ["session_id", "bucket", "part"]
+    order = Window.partitionBy(*place).orderBy("at", "turn")
+    m = m.select(*place, "role", "at", F.lag("at").over(order).alias("came"), F.row_number().over(order).alias("rn"))
+    within = m.where("came is not null").select("role", (F.col("at") - F.col("came")).alias("us"))
+    # the first message of a bucket follows the last one of the bucket before
+    ends = m.groupBy(*place).agg(F.max("at").alias("end"), F.min_by("role", "rn").alias("role"), F.min("at").alias("at"))
+    before = F.lag("end").over(Window.partitionBy("session_id").orderBy("bucket", "part"))
+    over = ends.select("role", (F.col("at") - before).alias("us")).where("us is not null")
+    gaps = within.unionByName(over).select("role", (F.col("us") / 1e6).alias("gap"))
     return gaps.groupBy("role").agg(F.percentile_approx("gap", share, 10_000).alias("gap_s"), F.count(F.lit(1)).alias("n"))

@@ -91,3 +91,19 @@ def test_texts(spark):
 def test_sql(spark):
     assert difference(spark, "p3_found", queries.QUERIES["p3_found"], queries.SQL["p3_found"], f"{DATA}/sf0.001") == ""
     assert queries.QUERIES["p3_gaps"](spark, f"{DATA}/sf0.001").count() > 0
+
+
+def test_gaps_over_all_borders(spark, monkeypatch):
+    """Every message but the first has its gap, in sessions far beyond a block, in the order of instants."""
+    rng, rows = random.Random(3), []
+    for sid, n in (("long", 9000), ("short", 7), ("one", 1)):
+        at = [rng.randrange(0, n * 400) if i % 3 else 5_000 for i in range(n)]
+        rows += [(len(rows) + i, sid, i + 1, "user" if i % 2 else "bot", "x", str(1_700_000_000_000 + 1000 * t)) for i, t in enumerate(at)]
+    rows += [(10**6, "short", 8, "user", " ", "1700000000000"), (10**6 + 1, "short", 9, "who", "x", "1700000000000"), (10**6 + 2, "short", 10, "user", "x", "?"), (10**6 + 3, None, 1, "user", "x", "1")]
+    gaps = []
+    for sid in ("long", "short"):
+        at = sorted(int(r[5]) / 1000 for r in rows if r[1] == sid and r[3] != "who" and r[5] != "?" and r[4] == "x")
+        gaps += [b - a for a, b in zip(at, at[1:], strict=False)]
+    got = {r["role"]: r for r in conversations.calibrated_gap(spark.createDataFrame(rows, TURNS), 1.0).collect()}
+    assert sum(r["n"] for r in got.values()) == len(gaps) and max(r["gap_s"] for r in got.values()) == max(gaps)
+    assert conversations.calibrated_gap(spark.createDataFrame([], TURNS)).count() == 0
