@@ -1,18 +1,28 @@
 """Documents that hold passages of held-out test items.
 
 Method: template canonicalisation. Texts become words (characters for Chinese items); numbers, names and units become
-typed placeholders, and windows of WINDOW canonical words are hashed. Windows of documents are hash-joined with those of
-the items; slot consistency asks that the values behind the placeholders agree too. A stretch of 20 words with at
-most one in ten changed holds at least one unchanged window of six, so every case is met by a consistent window; the
-stretch itself is then checked exactly, by edit distance to both sides of every run of equal words. Windows whose template agrees while the slots do
-not are re-parameterised questions, which ``reparameterised`` reports.
-
-* The items are a fixed table (MAX_ITEMS is checked); their windows are broadcast.
-* Documents are read once, in place; only those with a window of an item's template leave their task, as integers.
+typed placeholders, and every window of WINDOW canonical words is hashed. Windows of documents are hash-joined with those of
+the items by template, and the matches are grouped by document, item and offset. Slot consistency then decides on the
+values behind the placeholders:
+
+* The values of a stretch are the item's own: the document quotes the item (``leaks``). A stretch of 20 words with at most one
+  in ten changed leaves three unchanged windows of six, so a pair with fewer windows of equal values is no case; the others
+  are checked exactly, by edit distance to both sides of every run of equal words.
+* The values are others, but every value of the item stands for one value of the document all along the stretch, and the
+  other way round: the item was re-parameterised (``reparameterised``). Values bound in two ways make no case.
+
+A window of fewer than LITERALS plain words keeps its words, so placeholders alone never match. A word is a number by its
+digits and a unit if it follows numbers. A name is capital within sentences, never small, never after an article (German
+writes every noun with a capital) nor after a unit; a word that no item has is a name if the document writes it with a
+capital. Chinese has numbers and units only.
+
+* Items are taken in blocks of MAX_ITEMS, each of which is broadcast, so any number of items is served exactly.
+* Documents are read once, in place; only those with a window of an item's template leave their task, as integers, in pieces
+  of PIECE words that overlap by more than any stretch that decides, so a very long document is many rows.
 * Every document is a row of its own: copies, however many, are only more rows.
 
 Cases: null, empty and blank texts hold nothing; letter case, punctuation, white space, line breaks, markup, entities, JSON
-escapes and invisible characters don't count; the closing instruction that items of a language share is no test material;
+escapes and invisible characters don't count; the closing instruction that items share is no test material;
 items too short to hold a stretch match nothing; whole texts of any length are searched.
 """
 
@@ -21,8 +31,9 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +45,17 @@ from corpusloom.session import stored
 WINDOW = 6
 WORDS, CHARS = "words", "chars"
 LEAST = {WORDS: 20, CHARS: 30}
-MAX_ITEMS = 100_000
+#: Plain words that a window needs for its placeholders to count.
+LITERALS = 3
+#: Items that are broadcast at a time.
+MAX_ITEMS = 5000
+#: Words of a piece of a document, and how far it reaches into the next: more than 2 x 30 characters and their errors.
+PIECE, OVERLAP = 2048, 128
 #: A closing sentence that so many items end with is an instruction.
 SHARED_ENDINGS = 3
 
+#: German articles and what takes their place; a noun after one is no name.
+ARTICLES = set("der die das den dem des ein eine einen einem einer eines kein keine keinen keinem keiner im am zum zur vom beim ins ans sein seine seinen seinem seiner ihr ihre ihren ihrem ihrer unser unsere unseren diese dieser dieses diesen diesem jede jeder jedes jeden jedem".split())
 _JSON = re.compile(r'\\u([0-9a-fA-F]{4})|\\([nrt"/\\])')
 _TAG = re.compile(r"</?[A-Za-z!][^<>]{0,200}>")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[\s>|*#]*(?=[^\W\d_])")
@@ -48,8 +66,8 @@ _HAS_HAN = re.compile(rf"[{_HAN}]")
 _INVISIBLE = {c: None for c in range(0x110000) if c < 0x3000 and unicodedata.category(chr(c)) == "Cf"} | {0xFEFF: None}
 
 
-def plain(text: str) -> str:
-    """The text without markup, escapes and invisible characters, in one case."""
+def cased(text: str) -> str:
+    """The text without markup, escapes and invisible characters."""
     if "\\" in text:
         text = _JSON.sub(lambda m: chr(int(m[1], 16)) if m[1] else {"n": "\n", "r": "\n", "t": "\t"}.get(m[2], m[2]), text)
         text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
@@ -60,7 +78,12 @@ def plain(text: str) -> str:
     text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
     if "-" in text:
         text = _BROKEN.sub("", text)
-    return text.casefold()
+    return text
+
+
+def plain(text: str) -> str:
+    """``cased`` in one case."""
+    return cased(text).casefold()
 
 
 def tokens(text: str, mode: str) -> list[str]:
@@ -79,70 +102,101 @@ def _rolled(x: np.ndarray, w: int = WINDOW) -> np.ndarray:
     return h.view(np.int64)
 
 
+LITERAL, NUMBER, NAME, UNIT = range(4)
+
+
 class Lexicon:
-    """Numbers for the words of the items of one mode, and the type of each: itself, a number, a name or a unit."""
+    """Numbers for the words of the items of one mode, and the type of each."""
 
     def __init__(self, texts: list[str], mode: str):
         self.mode = mode
         cut = [tokens(t, mode) for t in texts]
         self.number = {w: i for i, w in enumerate(sorted({w for ws in cut for w in ws}))}
-        n = len(self.number)
-        self.number_slot, self.name_slot, self.unit_slot = n, n + 1, n + 2
-        # a name is written with a capital within a sentence, and never small; a unit follows a number
-        capital, small, unit = Counter(), Counter(), Counter()
-        for t in texts if mode == WORDS else []:
-            for m in re.finditer(r"(?<=[^\W\d_] )([^\W\d_]+)", t):
-                (capital if m[1][0].isupper() else small)[m[1].casefold()] += 1
+        unit = Counter()
         for ws in cut:
             unit.update(b for a, b in zip(ws, ws[1:], strict=False) if a.isdigit() and not b.isdigit())
-        self.canonical = np.arange(n + 1)
+        capital, other = Counter(), Counter()
+        for t in texts if mode == WORDS else []:
+            for m in re.finditer(r"(?:(?<=[^\W_])|(?<=[^\W_],)) ([^\W\d_]+)", t):
+                before = re.search(r"[^\W_]+(?=,?$)", t[max(0, m.start() - 40) : m.start()])
+                before, w = before[0].casefold() if before else "", m[1].casefold()
+                common = not m[1][0].isupper() or before in ARTICLES or before.isdigit() or unit[before] > 1
+                (other if common else capital)[w] += 1
+        self.kind = np.zeros(len(self.number), np.int8)
         for w, i in self.number.items():
-            if w.isdigit():
-                self.canonical[i] = self.number_slot
-            elif capital[w] and not small[w]:
-                self.canonical[i] = self.name_slot
-            elif unit[w] > 1:
-                self.canonical[i] = self.unit_slot
-        self.canonical[n] = self.name_slot  # words that no item has
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        """-1 for words that no item has, -2 for such numbers."""
-        get = self.number.get
-        return np.fromiter((get(w, -1) if not w.isdigit() else get(w, -2) for w in words), np.int64, len(words))
-
-    def template(self, ids: np.ndarray) -> np.ndarray:
-        return np.where(ids == -2, self.number_slot, self.canonical[np.where(ids < 0, len(self.canonical) - 1, ids)])
+            self.kind[i] = NUMBER if w.isdigit() else UNIT if unit[w] > 1 else NAME if capital[w] and not other[w] else LITERAL
 
-
-def without_instruction(rows: list[tuple[int, str, str]]) -> list[tuple[int, str, str]]:
-    """(item, lang, text) without a last sentence that SHARED_ENDINGS or more items end with."""
-    end = re.compile(r"[^.!?。！？]*[.!?。！？]?\s*$")
-    last = {}
-    for item, _, text in rows:
-        body = text.rstrip()
-        at = end.search(body[:-1]).start() if len(body) > 1 else 0
-        last[item] = (at, plain(body[at:]).strip())
-    shared = Counter(s for _, s in last.values())
-    return [(i, lang, text.rstrip()[: last[i][0]] if last[i][1] and shared[last[i][1]] >= SHARED_ENDINGS else text) for i, lang, text in rows]
+    def ids(self, words: list[str], capitals: list[bool] | None = None) -> np.ndarray:
+        """Numbers of words; of one that no item has a hash below zero, which tells its type."""
+        get = self.number.get
+        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        for i in np.flatnonzero(out < 0).tolist():
+            w = words[i]
+            kind = NUMBER if w.isdigit() else NAME if capitals is not None and capitals[i] else LITERAL
+            out[i] = -1 - ((zlib.crc32(w.encode()) & 0xFFFFFFF) << 2 | kind)
+        return out
+
+    def kinds(self, ids: np.ndarray) -> np.ndarray:
+        own = self.kind[np.maximum(ids, 0)] if len(self.kind) else np.zeros(len(ids), np.int8)
+        return np.where(ids >= 0, own, (-1 - ids) & 3)
+
+    def windows(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(template, slots) of every window: the hash with placeholders, and the hash of the words themselves."""
+        slots = _rolled(ids)
+        if not len(slots):
+            return slots, slots
+        kinds = self.kinds(ids)
+        plain_ = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
+        enough = plain_[WINDOW:] - plain_[:-WINDOW] >= LITERALS
+        return np.where(enough, _rolled(np.where(kinds == LITERAL, ids, -(1 << 40) - kinds)), slots), slots
+
+    def may_match(self, known: np.ndarray) -> bool:
+        """Whether some window has LITERALS words of the items, or nothing but them."""
+        n = np.concatenate([[0], np.cumsum(known >= 0)])
+        return len(known) >= WINDOW and bool((n[WINDOW:] - n[:-WINDOW] >= LITERALS).any())
+
+
+def _ending(text: str) -> tuple[int, str]:
+    """Where the last sentence begins, and that sentence."""
+    body = text.rstrip()
+    at = re.search(r"[^.!?。！？]*[.!?。！？]?\s*$", body[:-1]).start() if len(body) > 1 else 0
+    return at, plain(body[at:]).strip()
+
+
+def without_instruction(eval_items: DataFrame) -> DataFrame:
+    """(item_id, text), each once, without a last sentence that SHARED_ENDINGS items or more end with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            ends = [_ending(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t[:at] for t, (at, _) in zip(texts, ends, strict=True)], pa.string()), pa.array([e for _, e in ends], pa.string())], names=["item_id", "text", "head", "ending"])
+
+    rows = eval_items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    cut = rows.mapInArrow(run, "item_id long, text string, head string, ending string")
+    shared = cut.where("ending <> ''").groupBy("ending").agg(F.count_distinct("item_id").alias("n")).where(F.col("n") >= SHARED_ENDINGS)
+    return cut.join(shared, "ending", "left").select("item_id", F.when(F.col("n").isNull(), F.col("text")).otherwise(F.col("head")).alias("text"))
 
 
 class Items:
-    """The items as numbers, with the hashes of their windows."""
+    """A block of items as numbers, with the hashes of their windows."""
 
-    def __init__(self, rows: list[tuple[int, str, str]]):
-        rows = without_instruction([(i, lang, t) for i, lang, t in rows if t and t.strip()])
+    def __init__(self, rows: list[tuple[int, str]]):
+        rows = [(i, t) for i, t in rows if t and t.strip()]
         chars = lambda t: len(_HAS_HAN.findall(t)) * 3 > len(t)
-        by = {WORDS: [r for r in rows if not chars(r[2])], CHARS: [r for r in rows if chars(r[2])]}
-        self.lexicon = {m: Lexicon([r[2] for r in v], m) for m, v in by.items()}
-        self.text = {i: (m, self.lexicon[m].ids(tokens(t, m))) for m, v in by.items() for i, _, t in v}
-        self.templates = {m: np.unique(np.concatenate([_rolled(self.lexicon[m].template(self.text[r[0]][1])) for r in v] or [np.empty(0, np.int64)])) for m, v in by.items()}
+        by = {WORDS: [r for r in rows if not chars(r[1])], CHARS: [r for r in rows if chars(r[1])]}
+        self.lexicon = {m: Lexicon([r[1] for r in v], m) for m, v in by.items()}
+        self.text: dict[tuple[int, int], tuple[str, np.ndarray]] = {}
+        for m, v in by.items():
+            for n, (i, t) in enumerate(v):
+                self.text[i, n] = (m, self.lexicon[m].ids(tokens(t, m)))
+        self.wins = {key: self.lexicon[m].windows(ids) for key, (m, ids) in self.text.items()}
+        of = lambda m, k: np.unique(np.concatenate([w[k] for key, w in self.wins.items() if self.text[key][0] == m] or [np.empty(0, np.int64)]))
+        self.templates, self.slots = ({m: of(m, k) for m in by} for k in range(2))
 
-    def windows(self) -> list[tuple[str, int, int, int]]:
-        """(mode, template, slots, item), each once."""
-        out = set()
-        for item, (m, ids) in self.text.items():
-            out |= {(m, int(a), int(b), item) for a, b in zip(_rolled(self.lexicon[m].template(ids)), _rolled(ids), strict=True)}
-        return sorted(out)
+    def windows(self) -> list[tuple]:
+        """(mode, template, own, item_id, copy, at): the windows of all items; copy tells texts of one item apart."""
+        return [(self.text[key][0], int(a), int(b), *key, at) for key, (t, s) in self.wins.items() for at, (a, b) in enumerate(zip(t, s, strict=True))]
 
 
 def _runs(doc: np.ndarray, item: np.ndarray, w: int) -> list[tuple[int, int, int]]:
@@ -189,96 +243,161 @@ def holds_stretch(doc: np.ndarray, item: np.ndarray, least: int) -> bool:
     Exact for ``least`` from 20 on: of a stretch of 2 x ``least`` words or more one half is a case too, so there are at most
     (2 x ``least`` - 1) // 10 errors; and one run of WINDOW equal words lies in it, from which both ends are reached.
     """
-    most = (2 * least - 1) // 10
+    most, far = (2 * least - 1) // 10, 2 * least
     words = item.tolist()
-    for i, j, n in _runs(doc, item, WINDOW):
+    for i, j, n in sorted(_runs(doc, item, WINDOW), key=lambda r: -r[2]):
+        if n >= least:
+            return True
         # words are added on the way, so the document is read a little further than the item
-        after = _reach(words[i + n :], doc[j + n : j + n + len(words) + most].tolist(), most)
-        before = _reach(words[:i][::-1], doc[max(0, j - len(words) - most) : j][::-1].tolist(), most)
+        after = _reach(words[i + n : i + n + far], doc[j + n : j + n + far + most].tolist(), most)
+        before = _reach(words[max(0, i - far) : i][::-1], doc[max(0, j - far - most) : j][::-1].tolist(), most)
         if any((length := x + n + y) >= least and 10 * (a + b) <= length for a, x in enumerate(before) for b, y in enumerate(after)):
             return True
     return False
 
 
-def _items(eval_items: DataFrame) -> Items:
-    rows = eval_items.select("item_id", "lang", "text").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items; they are broadcast")
-    return Items(sorted({(r[0], r[1] or "", r[2]) for r in rows if r[0] is not None and r[2] is not None}))
+def _blocks(eval_items: DataFrame) -> Iterator[Items]:
+    """The items in blocks of MAX_ITEMS or so, each collected when it is used."""
+    rows = stored(without_instruction(eval_items))
+    blocks = max(1, -(-rows.count() // MAX_ITEMS))
+    for i in range(blocks):
+        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        yield Items(sorted({(r[0], r[1]) for r in part.collect()}))
+
+
+PIECES = "doc_id long, mode string, piece int, ids array<int>, at array<int>, template array<long>, slots array<long>"
 
 
 def _scanned(documents: DataFrame, items: Items) -> DataFrame:
-    """(doc_id, mode, ids, template, slots): the documents with a window of some item's template."""
+    """The pieces of documents with a window of some item's template, and those windows."""
     shared = documents.sparkSession.sparkContext.broadcast(items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
         for batch in batches:
-            out = {"doc_id": [], "mode": [], "ids": [], "template": [], "slots": []}
+            out: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
-                clean = plain(text)
+                written = cased(text)
+                clean = written.casefold()
                 for mode, cut in ((WORDS, _WORD), (CHARS, _CHAR)):
-                    if not len(it.templates[mode]) or (mode == CHARS and not _HAS_HAN.search(clean)):
+                    known, lexicon = it.templates[mode], it.lexicon[mode]
+                    if not len(known) or (mode == CHARS and not _HAS_HAN.search(clean)):
+                        continue
+                    words = cut.findall(clean)
+                    get = lexicon.number.get
+                    if not lexicon.may_match(np.fromiter((get(w, -1) for w in words), np.int64, len(words))):
                         continue
-                    ids = it.lexicon[mode].ids(cut.findall(clean))
-                    t = _rolled(it.lexicon[mode].template(ids))
-                    known = it.templates[mode]
-                    hit = known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t
-                    if hit.any():
-                        for k, v in (("doc_id", doc), ("mode", mode), ("ids", ids.astype(np.int32)), ("template", t[hit]), ("slots", _rolled(ids)[hit])):
-                            out[k].append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["doc_id"], pa.int64()), pa.array(out["mode"], pa.string()), pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["template"], pa.list_(pa.int64())), pa.array(out["slots"], pa.list_(pa.int64()))],
-                names=list(out),
-            )
+                    shown = cut.findall(written) if mode == WORDS else []
+                    ids = lexicon.ids(words, [w[0].isupper() for w in shown] if len(shown) == len(words) else None)
+                    t, s = lexicon.windows(ids)
+                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t)
+                    for k in range(-(-max(1, len(ids) - OVERLAP) // PIECE)) if len(hit) else ():
+                        own = hit[(hit >= k * PIECE) & (hit <= k * PIECE + PIECE + OVERLAP - WINDOW)]
+                        if len(own):
+                            for c, v in zip(out, (doc, mode, k, ids[k * PIECE : (k + 1) * PIECE + OVERLAP].astype(np.int32), (own - k * PIECE).astype(np.int32), t[own], s[own]), strict=True):
+                                c.append(v)
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["doc_id", "mode", "piece", "ids", "at", "template", "slots"])
+
+    return stored(documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, PIECES))
+
+
+def _met(scanned: DataFrame, items: Items) -> DataFrame:
+    """(doc_id, mode, piece, item_id, copy, off, windows, same): windows that share a template with the item at one offset,
+    and those of them whose slots hold the item's own values."""
+    win = scanned.select("doc_id", "mode", "piece", F.explode(F.arrays_zip("at", "template", "slots")).alias("w")).select("doc_id", "mode", "piece", F.col("w.at").alias("here"), "w.template", "w.slots")
+    table = scanned.sparkSession.createDataFrame(items.windows() or [("", 0, 0, 0, 0, 0)], "mode string, template long, own long, item_id long, copy int, there int")
+    met = win.join(F.broadcast(table), ["mode", "template"])  # a block of items
+    return met.groupBy("doc_id", "mode", "piece", "item_id", "copy", (F.col("here") - F.col("there")).alias("off")).agg(F.count(F.lit(1)).alias("windows"), F.sum((F.col("slots") == F.col("own")).cast("long")).alias("same"))
+
+
+def _verified(scanned: DataFrame, asked: DataFrame, items: Items, judge: Callable, out: str) -> DataFrame:
+    """``judge(items, mode, ids, asked)`` of every piece with its ``asked`` structs: rows of ``out`` without doc_id and mode."""
+    shared = scanned.sparkSession.sparkContext.broadcast(items)
+    names = [f.split()[0] for f in out.split(", ")]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, mode, ids, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mode", "ids", "asked")), strict=True):
+                rows += [(doc, mode, *r) for r in judge(shared.value, mode, np.array(ids, np.int64), wanted)]
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * (len(names) - 2)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    return stored(documents.select("doc_id", "text").where("text is not null").mapInArrow(scan, "doc_id long, mode string, ids array<int>, template array<long>, slots array<long>"))
+    key = ["doc_id", "mode", "piece"]
+    return asked.join(scanned.select(*key, "ids"), key).mapInArrow(check, out)
 
 
-def _joined(scanned: DataFrame, items: Items, on: list[str]) -> DataFrame:
-    win = scanned.select("doc_id", "mode", F.explode(F.arrays_zip("template", "slots")).alias("w")).select("doc_id", "mode", "w.*")
-    table = scanned.sparkSession.createDataFrame(items.windows() or [("", 0, 0, 0)], "mode string, template long, slots long, item_id long")
-    if "slots" not in on:
-        table = table.withColumnRenamed("slots", "own").dropDuplicates(["mode", "template", "own", "item_id"])
-    return win.join(F.broadcast(table), ["mode", *on])
+def _quoted(items: Items, mode: str, ids: np.ndarray, asked: list[dict]) -> Iterator[tuple]:
+    for a in asked:
+        if holds_stretch(ids, items.text[a["item_id"], a["copy"]][1], LEAST[mode]):
+            yield (a["item_id"],)
 
 
 def leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """(doc_id, item_id) of every document that holds a stretch of an item, each pair once."""
-    items = _items(eval_items)
-    scanned = _scanned(documents, items)
+    found = None
     # a stretch of n words with n / 10 changed leaves 0.4 n - 5 unchanged windows at least
     need = F.when(F.col("mode") == WORDS, int(0.4 * LEAST[WORDS]) - WINDOW + 1).otherwise(int(0.4 * LEAST[CHARS]) - WINDOW + 1)
-    met = _joined(scanned, items, ["template", "slots"]).groupBy("doc_id", "mode", "item_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= need)
-    asked = met.groupBy("doc_id", "mode").agg(F.collect_set("item_id").alias("items"))
-    shared = documents.sparkSession.sparkContext.broadcast(items)
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        it = shared.value
-        for batch in batches:
-            docs, found = [], []
-            for doc, mode, ids, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "mode", "ids", "items")), strict=True):
-                ids = np.array(ids, np.int64)
-                for item in wanted:
-                    if holds_stretch(ids, it.text[item][1], LEAST[mode]):
-                        docs.append(doc)
-                        found.append(item)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64())], names=["doc_id", "item_id"])
-
-    return asked.join(scanned.select("doc_id", "mode", "ids"), ["doc_id", "mode"]).mapInArrow(check, "doc_id long, item_id long").distinct()
+    for items in _blocks(eval_items):
+        scanned = _scanned(documents, items)
+        met = _met(scanned, items).where("same > 0").groupBy("doc_id", "mode", "piece", "item_id", "copy").agg(F.sum("same").alias("n")).where(F.col("n") >= need)
+        asked = met.groupBy("doc_id", "mode", "piece").agg(F.collect_list(F.struct("item_id", "copy")).alias("asked"))
+        part = _verified(scanned, asked, items, _quoted, "doc_id long, mode string, item_id long").select("doc_id", "item_id")
+        found = part if found is None else found.unionByName(part)
+    return found.distinct()
+
+
+def _bound(items: Items, mode: str, ids: np.ndarray, asked: list[dict]) -> Iterator[tuple]:
+    """(item_id, windows, consistent, bindings) of the longest stretch at one offset with one value for each of the item's."""
+    lexicon = items.lexicon[mode]
+    slots = _rolled(ids)
+    known = items.slots[mode]
+    quoted = known[np.minimum(np.searchsorted(known, slots), len(known) - 1)] == slots  # some item's very words
+    mine = lexicon.kinds(ids)
+    for a in asked:
+        item = items.text[a["item_id"], a["copy"]][1]
+        lo, hi = max(0, a["off"]), min(len(ids), len(item) + a["off"])
+        d, i = ids[lo:hi], item[lo - a["off"] : hi - a["off"]]
+        kinds = lexicon.kinds(i)
+        follows = (kinds == mine[lo:hi]) & ((kinds != LITERAL) | (d == i))
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], follows.astype(np.int8), [0]])))
+        best = None
+        for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            if e - s < LEAST[mode]:
+                continue
+            slot = kinds[s:e] != LITERAL
+            pairs = set(zip(i[s:e][slot].tolist(), d[s:e][slot].tolist(), strict=True))
+            changed = sum(x != y for x, y in pairs)
+            own = quoted[lo + s : lo + e - WINDOW + 1]
+            if changed and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == len(pairs) and 2 * own.sum() < len(own):
+                same = int((slots[lo + s : lo + e - WINDOW + 1] == _rolled(i[s:e])).sum())
+                best = max(best or (0,), (e - s - WINDOW + 1, same, changed))
+        if best:
+            yield (a["item_id"], *best)
 
 
 def reparameterised(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
-    """(doc_id, mode, item_id, windows, consistent): items whose templates a document follows for the length of a stretch.
+    """(doc_id, mode, item_id, windows, consistent, bindings): items that a document follows, with other values, for a stretch.
 
-    windows: different windows of the document whose template is one of the item's; consistent: those with equal slots.
+    The stretch has LEAST words, all plain words are the item's, and values correspond one to one: of equal values of the
+    item none has two in the document, and the other way round. windows: windows of the longest such stretch; consistent:
+    those with the item's own values; bindings: values that are changed. What quotes another item isn't re-parameterised.
     """
-    items = _items(eval_items)
-    w = _joined(_scanned(documents, items), items, ["template"])
-    g = w.groupBy("doc_id", "mode", "item_id").agg(F.count_distinct("template", "slots").alias("windows"), F.count_distinct(F.when(F.col("slots") == F.col("own"), F.col("slots"))).alias("consistent"))
-    return g.where(F.col("windows") > F.when(F.col("mode") == WORDS, LEAST[WORDS] - WINDOW).otherwise(LEAST[CHARS] - WINDOW))
+    found = None
+    need = F.when(F.col("mode") == WORDS, LEAST[WORDS] - WINDOW + 1).otherwise(LEAST[CHARS] - WINDOW + 1)
+    out = "doc_id long, mode string, item_id long, windows long, consistent long, bindings long"
+    for items in _blocks(eval_items):
+        scanned = _scanned(documents, items)
+        # windows of too few plain words match by their very words only, and are missing from the count of a re-parameterised stretch
+        met = _met(scanned, items).where(F.col("windows") * 2 >= need).where("same < windows")
+        asked = met.groupBy("doc_id", "mode", "piece").agg(F.collect_list(F.struct("item_id", "copy", "off")).alias("asked"))
+        part = _verified(scanned, asked, items, _bound, out)
+        found = part if found is None else found.unionByName(part)
+    best = F.max(F.struct("windows", "consistent", "bindings")).alias("b")
+    return found.groupBy("doc_id", "mode", "item_id").agg(best).select("doc_id", "mode", "item_id", "b.*")
 
 
 def leaked_items(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
