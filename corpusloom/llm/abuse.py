@@ -25,7 +25,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,17 @@ _FITTED: list[tuple] = []
 #: Letters of other scripts that look like Latin ones, and signs written for letters.
 LOOKALIKE = str.maketrans("аеорсухіјѕԁһӏԛԝвнкмтαβεικνορτυχγѵ", "aeopcyxijsdhlqwbhkmtabeiknoptuxyv")
 LEET = str.maketrans("0134578@$!", "oieastbasi")
-_INVISIBLE = {c: None for c in range(0x3000) if unicodedata.category(chr(c)) in ("Cf",)} | {0xFEFF: None}
+
+
+def _class(chars: Iterable[int]) -> re.Pattern:
+    return re.compile("[" + "".join(f"\\U{c:08x}" for c in chars) + "]+")
+
+
+_INVISIBLE = _class([*(c for c in range(0x3000) if unicodedata.category(chr(c)) == "Cf"), 0xFEFF])
+# a class beyond 16 bits is slow, and rarely needed
+_MARKS = _class(c for c in range(0x10000) if unicodedata.category(chr(c)) == "Mn")
+_WIDE_MARKS = _class(c for c in range(0x10000, 0x110000) if unicodedata.category(chr(c)) == "Mn")
+_WIDE = re.compile("[\U00010000-\U0010ffff]")
 _JSON = re.compile(r'\\u([0-9a-fA-F]{4})|\\([nrt"/\\])')
 #: Letters set apart: four or more by blanks, three or more by signs.
 _SPACED = re.compile(r"(?<![^\W_])(?:(?:[^\W\d_][ .*_\-~|]+){3,}|(?:[^\W\d_][.*_\-~|]+){2,})[^\W\d_](?![^\W_])")
@@ -68,9 +78,14 @@ def normal(text: str) -> str:
         text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
     if "&" in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE)).casefold()
-    text = text.translate(LOOKALIKE)
-    text = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn"))
+    if text.isascii():
+        text = text.lower()
+    else:
+        text = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text)).casefold().translate(LOOKALIKE)
+        text = _MARKS.sub("", unicodedata.normalize("NFD", text))
+        if _WIDE.search(text):
+            text = _WIDE_MARKS.sub("", text)
+        text = unicodedata.normalize("NFC", text)
     text = _MIXED.sub(lambda m: m[0].translate(LEET) if sum(map(_latin, m[0])) >= sum(c.isdigit() for c in m[0]) else m[0], text)
     text = _SPACED.sub(lambda m: re.sub(r"[ .*_\-~|]+", "", m[0]), text)
     text = _HAN_GAP.sub("", text)

@@ -53,12 +53,14 @@ def instant_of(at: Column) -> Column:
     zone = F.when((zone == "") | (zone == "Z"), F.lit("+00:00")).otherwise(F.regexp_replace(zone, r"^([+-])(\d{1,2}):?(\d{2})$", "$1$2:$3"))
     body = F.when(body.contains(":"), body).otherwise(F.concat(body, F.lit(" 00:00:00")))
     read = F.when(body.rlike(STAMP), F.concat(F.regexp_replace(body, ",", "."), zone).try_cast("timestamp"))
-    return F.coalesce(digits, F.unix_micros(read))
+    # the common notation goes by one pattern, the others by the rest
+    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"), F.unix_micros(t.try_cast("timestamp")))
+    return F.coalesce(iso, digits, F.unix_micros(read))
 
 
 def is_blank(text: Column) -> Column:
     """Null, or nothing but white space, zero-width characters and memory-context blocks."""
-    return F.coalesce(F.regexp_replace(F.regexp_replace(text, MEMO, ""), SPACE, ""), F.lit("")) == ""
+    return ~F.coalesce(F.regexp_replace(text, MEMO, "").rlike(SPACE.replace("[", "[^", 1)), F.lit(False))
 
 
 def _messages(turns: DataFrame) -> DataFrame:
