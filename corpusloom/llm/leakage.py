@@ -51,6 +51,8 @@ LITERALS = 3
 MAX_ITEMS = 5000
 #: Words of a piece of a document, and how far it reaches into the next: more than 2 x 30 characters and their errors.
 PIECE, OVERLAP = 2048, 128
+#: Words (characters) that a re-parameterised stretch has at least: about a sentence.
+FOLLOWS = {WORDS: 12, CHARS: 18}
 #: A closing sentence that so many items end with is an instruction.
 SHARED_ENDINGS = 3
 
@@ -366,7 +368,7 @@ def _bound(items: Items, mode: str, ids: np.ndarray, asked: list[dict]) -> Itera
         edges = np.flatnonzero(np.diff(np.concatenate([[0], follows.astype(np.int8), [0]])))
         best = None
         for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if e - s < LEAST[mode]:
+            if e - s < FOLLOWS[mode]:
                 continue
             slot = kinds[s:e] != LITERAL
             pairs = set(zip(i[s:e][slot].tolist(), d[s:e][slot].tolist(), strict=True))
@@ -382,12 +384,12 @@ def _bound(items: Items, mode: str, ids: np.ndarray, asked: list[dict]) -> Itera
 def reparameterised(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     """(doc_id, mode, item_id, windows, consistent, bindings): items that a document follows, with other values, for a stretch.
 
-    The stretch has LEAST words, all plain words are the item's, and values correspond one to one: of equal values of the
+    The stretch has FOLLOWS words or more, all plain words are the item's, and values correspond one to one: of equal values of the
     item none has two in the document, and the other way round. windows: windows of the longest such stretch; consistent:
     those with the item's own values; bindings: values that are changed. What quotes another item isn't re-parameterised.
     """
     found = None
-    need = F.when(F.col("mode") == WORDS, LEAST[WORDS] - WINDOW + 1).otherwise(LEAST[CHARS] - WINDOW + 1)
+    need = F.when(F.col("mode") == WORDS, FOLLOWS[WORDS] - WINDOW + 1).otherwise(FOLLOWS[CHARS] - WINDOW + 1)
     out = "doc_id long, mode string, item_id long, windows long, consistent long, bindings long"
     for items in _blocks(eval_items):
         scanned = _scanned(documents, items)

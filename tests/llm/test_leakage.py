@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -168,3 +169,72 @@ def test_shortest_stretch_with_a_change_near_its_end(spark):
     w, zh = words(1)[:20], list(L.plain(ITEMS[3][2]))[:30]
     texts = [altered(w, at, "zzz", " ") for at in (1, 2, 3, 16, 17, 18)] + [altered(zh, at, "龘", "") for at in (1, 2, 3, 26, 27, 28)]
     assert leaked(spark, texts) == {(i, 1) for i in range(6)} | {(i, 4) for i in range(6, 12)}
+
+
+FOLLOWED = [
+    (i, "en", t + " Answer from the notes only.")
+    for i, t in enumerate(
+        [
+            "In 1802 the clerk told Sixten of Raswistad that Sixten owes 415 coins to the mill of Raswistad, and Sixten paid 415 of them.",
+            "The letter of 1776 says that Merle of Dalzoton lent Yorick the lamp, and that Yorick of Dalzoton gave Merle 62 sacks for it.",
+            "When the bridge fell, the ferryman sent Halka to Ovgeton for 97 blankets, and Halka came back from Ovgeton with just 97 buttons.",
+            "Als die Brücke einstürzte, schickte der Seiler Halka nach Ovgeton, und Halka brachte dem Seiler aus Ovgeton 137 Decken und 137 Säcke mit.",
+        ],
+        1,
+    )
+]
+VALUES = ["Sixten", "Raswistad", "Merle", "Dalzoton", "Yorick", "Halka", "Ovgeton", "1802", "415", "1776", "62", "97", "137"]
+
+
+def bound(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("windows", F.lit("x"))
+    return {(r["doc_id"], r["item_id"]) for r in L.reparameterised(docs, items(spark, FOLLOWED)).collect()}
+
+
+def test_bindings_decide(spark):
+    """Values that correspond one to one make a case; values bound in two ways, the item's own values and other texts don't."""
+    rng, right, wrong = random.Random(9), [], []
+    fresh = ["Quirin", "Peldorn", "Gavton", "Nilo", "Zelda", "Wibke", "Istmor", "88", "12", "731", "1654"]
+    for n in range(40):
+        item = FOLLOWED[n % 4][2]
+        used = [v for v in VALUES if re.search(rf"\b{v}\b", item)]
+        new = dict(zip(used, rng.sample([f for f in fresh if not f.isdigit()], sum(not v.isdigit() for v in used)), strict=False))
+        new = {v: rng.choice(["88", "12", "731"]) if v.isdigit() else new.get(v, v) for v in used}
+        if len(set(new.values())) < len(new):
+            continue
+        swapped = re.sub(r"\b(" + "|".join(used) + r")\b", lambda m: new[m[1]], item)
+        right.append((swapped, n % 4 + 1))
+        twice = next(v for v in used if len(re.findall(rf"\b{v}\b", item)) > 1)
+        last = swapped.rfind(new[twice])
+        wrong.append(swapped[:last] + ("9" if twice.isdigit() else "Fenna") + swapped[last + len(new[twice]) :])
+    got = bound(spark, [t for t, _ in right])
+    want = {(i, item) for i, (_, item) in enumerate(right)}
+    assert len(want) > 25 and len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+    # with a second binding only a stretch that ends before it can count
+    short = {d for d, _ in bound(spark, wrong)}
+    assert len(short) < len(wrong)
+    assert bound(spark, [f[2] for f in FOLLOWED] + ["The weather was fine and nobody went to the mill of the old town in the year of the flood."]) == set()
+
+
+def test_german_nouns_are_no_names():
+    lex = L.Lexicon([t for _, _, t in FOLLOWED] + ["Die Brücke von Velfesen fiel, und der Zug nach Velfesen stand an einem Markt."], L.WORDS)
+    kind = {w: lex.kind[i] for w, i in lex.number.items()}
+    assert [kind[w] for w in ("brücke", "seiler", "zug", "markt", "bridge", "the")] == [L.LITERAL] * 6
+    assert [kind[w] for w in ("halka", "ovgeton", "velfesen", "sixten", "yorick")] == [L.NAME] * 5 and kind["415"] == L.NUMBER
+
+
+def test_many_items_in_blocks(spark, monkeypatch):
+    w = words(1)
+    texts = [ITEMS[0][2], " ".join(w[5:25]), ITEMS[3][2], "x", ITEMS[1][2], ITEMS[2][2]]
+    want = leaked(spark, texts)
+    monkeypatch.setattr(L, "MAX_ITEMS", 2)
+    assert leaked(spark, texts) == want and len(want) >= 5
+
+
+def test_pieces_of_long_documents(spark):
+    """A quotation is found wherever it lies, across the borders of pieces too."""
+    quote, filler = " ".join(words(1)[2:24]), ["zeta"] * 9000
+    texts = []
+    for at in (0, L.PIECE - 30, L.PIECE - 10, L.PIECE, L.PIECE + L.OVERLAP - 11, 2 * L.PIECE + 60, 8990):
+        texts.append(" ".join(filler[:at] + [quote] + filler[at:]))
+    assert leaked(spark, [*texts, " ".join(filler)]) == {(i, 1) for i in range(len(texts))}
