@@ -4,15 +4,20 @@ Method: MinHash banding over padded q-grams proposes pairs of names within a bra
 the collision curve. Monge-Elkan similarity of their words verifies them, and star clustering groups them.
 
 * A record goes by one name: its title, or a fuller alias if the title is an abbreviation, an initial or Chinese. Equal
-  names of a brain are one node, so copies, however many, make no pairs before the end.
-* Nodes meet in bands by a join on the band's hash; the pairs of a band that are equal in several bands count once.
-* Verification: every word needs its partner: equal, a nickname, an abbreviation, one typing error, or an initial. Numbers
-  must be equal, initials must not contradict, and one shared word never suffices.
-* Star clustering in rounds of joins: a node with more neighbours than any of its unassigned neighbours becomes a centre
-  and takes them. Names that only give an initial join the cluster of the full names they fit if that is one cluster.
-
-Cases: null brain, slug or title leaves a record out; broken alias lists are read as far as they go; aliases without
-two words are junk; a record sent twice counts once; names without two words (or letters) match nothing.
+  names of a brain are one node, so copies, however many, make no pairs before the end, and equal names always link.
+* Nodes meet in bands by a join on the band's hash; the pairs of a band that are equal in several bands count once. A bucket
+  of a brain with over WIDE names, and an entity of any size, is joined in blocks of BLOCK, so no task holds all its pairs.
+* Verification: every word needs its partner. The inner similarity is graded: equal, a nickname, sounding alike, a soft edit
+  distance (a vowel for a vowel costs half), an abbreviation, or an initial. Numbers must be equal, initials must not
+  contradict, one shared word never suffices, and at most one word in two differs in its letters.
+* Star clustering in rounds of joins until every node is done: a node with more neighbours than any of its unassigned
+  neighbours becomes a centre and takes them. Names that only give an initial join the cluster of the full names they fit if
+  that is one cluster.
+
+Cases: null brain, slug or title leaves a record out, and so does a title without a letter or digit; broken alias lists are
+read as far as they go; aliases without two words are junk; a record sent twice counts once; names without two words (or
+letters) match equal names only; two capitals after a single word are read as initials, so "Siemens AG" also meets a person
+of that name with these initials.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +42,10 @@ ROWS = 3
 #: Recall wanted for pairs of this Jaccard similarity of q-grams; the number of bands follows.
 LEAST_JACCARD, RECALL = 0.40, 0.97
 MIN_SCORE = 0.85
+#: Names of a brain beyond which its bands are joined in blocks, and names (records) of a block.
+WIDE, BLOCK = 20_000, 2000
+#: Soft distance of two words, as they sound, that typing and transcription account for: one letter, or two vowels.
+MOST = 1.0
 
 #: Forms of address and legal forms that are no part of a name.
 ADDRESS = {"mr", "mrs", "ms", "miss", "dr", "prof", "dipl", "ing", "sir", "the", "jr", "sr", "herr", "frau"}
@@ -50,12 +60,29 @@ NICKNAMES = {
     "lucia": "lucy", "margaret": "maggie meg peggy marge margie madge", "matthew": "matt matty", "michael": "mike mick mickey", "nicholas": "nick nicky nico", "patricia": "pat patty trish tricia patsy",
     "quentin": "quent", "rebecca": "becky becca", "richard": "rick dick rich richie ricky", "robert": "bob rob bobby robbie", "samuel": "sam sammy", "stephen": "steve steven", "susan": "sue susie suzy suzie",
     "thomas": "tom tommy", "victoria": "vicky vicki tori vikki", "viktor": "vik", "william": "bill will billy willy willie", "wilhelm": "willi", "theodore": "theo", "timothy": "tim timmy", "jose": "pepe", "franz": "franzl",
+    "guillermo": "memo guille", "francisco": "paco pancho curro", "enrique": "quique", "eduardo": "lalo", "roberto": "beto", "manuel": "manolo", "rafael": "rafa", "guadalupe": "lupe", "jesus": "chuy",
 }
 FULL_NAME = {short: full for full, shorts in NICKNAMES.items() for short in shorts.split()}
 _HAN = re.compile(r"[㐀-䶿一-鿿]")
 _WORD = re.compile(r"[^\W_]+")
 
 
+#: Spellings of one sound, applied in this order.
+SOUNDS = [("sch", "s"), ("ph", "f"), ("ck", "k"), ("ch", "k"), ("th", "t"), ("qu", "kv"), ("x", "ks"), ("q", "k"), ("c", "k"), ("z", "s"), ("w", "v"), ("y", "i"), ("j", "i")]
+VOWELS = frozenset("aeiou")
+
+
+@lru_cache(200_000)
+def sound(word: str) -> str:
+    """How a word sounds, roughly: one spelling per sound, no h within, no letter twice."""
+    if not word.isascii():
+        return word
+    out = word
+    for written, plain in SOUNDS:
+        out = out.replace(written, plain)
+    return re.sub(r"(.)\1+", r"\1", out[:1] + out[1:].replace("h", ""))
+
+
 def _fold(s: str) -> str:
     s = unicodedata.normalize("NFKD", s.replace("ß", "ss").replace("ø", "o").replace("Ø", "O").replace("æ", "ae").replace("Æ", "AE").replace("ł", "l").replace("Ł", "L"))
     return "".join(c for c in s if unicodedata.category(c) not in ("Mn", "Cf"))
@@ -76,6 +103,8 @@ def name_of(text: str) -> str:
     for w in _WORD.findall(text):
         low = w.lower()
         if low in ADDRESS or low in LINKING and len(low) > 1:
+            if len(w) == 2 and w.isupper() and not shouted and len(out) == 1:
+                legal.append(w)  # "Cortuton MR": initials after the surname
             continue
         if low in LEGAL:
             legal.append(w)
@@ -87,7 +116,9 @@ def name_of(text: str) -> str:
             out.append(low)
     if len(out) == 1 and legal and len(legal[0]) <= 3 and legal[0].isupper() and not shouted:
         out += [c.lower() + "." for c in legal[0]]
-    return " ".join(out)
+    elif len(out) == 1 and legal:
+        out.append(legal[0].lower())  # a single word is told apart by its legal form
+    return " ".join(out or [w.lower() for w in _WORD.findall(text)])
 
 
 def _spelled(dotted: str) -> str:
@@ -97,8 +128,10 @@ def _spelled(dotted: str) -> str:
 
 
 def kind_of(name: str) -> str:
-    """full, initial (one word and initials) or none (too little to go by)."""
+    """full, initial (one word and initials) or none (too little to go by unless another name is equal)."""
     words = name.split()
+    if len(words) == 2 and words[1] in LEGAL:
+        words = words[:1]
     full = [w for w in words if not w.endswith(".")]
     if not full or sum(map(len, words)) < 4 or (len(words) == 1 and not (len(words[0]) >= 10)):
         return "none"
@@ -158,18 +191,49 @@ def _short_for(a: str, b: str) -> bool:
     return all(c in it for c in a)
 
 
+def soft_distance(a: str, b: str, most: float) -> float:
+    """Edit distance with swaps of neighbours, where a vowel for a vowel costs half; anything over ``most`` counts as infinite."""
+    if abs(len(a) - len(b)) > most:
+        return math.inf
+    before, row = [], [float(j) for j in range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        older, before, row = before, row, [float(i)]
+        for j, y in enumerate(b, 1):
+            change = 0.0 if x == y else 0.5 if x in VOWELS and y in VOWELS else 1.0
+            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + change)
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, older[j - 2] + 1)
+            row.append(best)
+        if min(row) > most:
+            return math.inf
+    return row[-1] if row[-1] <= most else math.inf
+
+
+FULL_SOUND = {sound(short): sound(full) for full, shorts in NICKNAMES.items() for short in shorts.split()}
+
+
+@lru_cache(200_000)
 def word_similarity(a: str, b: str) -> float:
+    """1 equal, .97 a nickname, .95 sounding alike, .9 within MOST of it, .88 an abbreviation, else 0."""
     if a == b:
         return 1.0
     if a.isdigit() or b.isdigit():
         return 0.0
     if FULL_NAME.get(a, a) == FULL_NAME.get(b, b):
         return 0.97
-    if min(len(a), len(b)) >= 4 and _near(a, b):
-        return 0.9
-    if _short_for(*sorted((a, b), key=len)):
-        return 0.88
-    return 0.0
+    if min(len(a), len(b)) >= 4:
+        if _near(a, b):
+            return 0.9
+        x, y = sound(a), sound(b)
+        if min(len(x), len(y)) >= 4:
+            if x == y:
+                return 0.95
+            if max(len(x), len(y)) > 5 and soft_distance(x, y, MOST) <= MOST:
+                return 0.9
+    x, y = sound(a), sound(b)
+    if FULL_SOUND.get(x, x) == FULL_SOUND.get(y, y) and x != y:
+        return 0.97
+    return 0.88 if _short_for(*sorted((a, b), key=len)) else 0.0
 
 
 def similarity(a: str, b: str) -> float:
@@ -184,13 +248,14 @@ def similarity(a: str, b: str) -> float:
     if len(fa) != len(fb) and sum(map(len, fa)) >= 6 and ("".join(fa) in turned(fb) or "".join(fb) in turned(fa)):
         return 0.98
     pairs = sorted(((word_similarity(x, y), i, j) for i, x in enumerate(fa) for j, y in enumerate(fb)), key=lambda p: -p[0])
-    la, lb, scores, errors, anchor = set(range(len(fa))), set(range(len(fb))), [], 0, False
+    la, lb, scores, errors, exact, anchor = set(range(len(fa))), set(range(len(fb))), [], 0, 0, False
     for s, i, j in pairs:
         if s > 0 and i in la and j in lb:
             la.discard(i)
             lb.discard(j)
             scores.append(s)
-            errors += s == 0.9
+            errors += s <= 0.9 and s != 0.88
+            exact += s == 1
             anchor |= s >= 0.9 and min(len(fa[i]), len(fb[j])) >= 3
     # an initial stands for a word only where the name has but one word besides
     for left, words, initials, other in ((la, fa, ib, fb), (lb, fb, ia, fa)):
@@ -200,7 +265,7 @@ def similarity(a: str, b: str) -> float:
                     initials.remove(c)
                     left.discard(i)
                     scores.append(0.86)
-    if la or lb or not anchor or errors > 1:
+    if la or lb or not anchor or errors > (2 if exact and len(fa) > 2 else 1):
         return 0.0
     for c in list(ia):
         if c in ib:
@@ -221,6 +286,7 @@ def q_grams(name: str) -> set[str]:
     """Padded q-grams of every word, nicknames written out; the order of words doesn't matter."""
     out = set()
     for w in canonical(name.replace(".", "").split()):
+        w = FULL_SOUND.get(sound(w), sound(w))
         p = f"^{w}$"
         out |= {p[i : i + Q] for i in range(len(p) - Q + 1)}
     return out
@@ -262,7 +328,19 @@ def named_records(registry: DataFrame) -> DataFrame:
             names = [record_name(t, aliases_of(a, s)) for s, t, a in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array([kind_of(n) for n in names], pa.string())], names=["brain_id", "slug", "name", "kind"])
 
-    return now.mapInArrow(run, "brain_id string, slug string, name string, kind string").where("kind <> 'none'")
+    return now.mapInArrow(run, "brain_id string, slug string, name string, kind string").where("name <> ''")
+
+
+def pairs_in_blocks(rows: DataFrame, keys: list[str], member: str, n: str = "n", block: int | None = None) -> DataFrame:
+    """(keys, a, b), a < b: all pairs of members that share the keys; ``n`` is the number of members of a key.
+
+    Members are dealt into blocks, and every pair of blocks is a key of its own, so a task joins two blocks at most.
+    """
+    rows = rows.withColumn("_s", F.ceil(F.col(n) / (block or BLOCK)).cast("int")).withColumn("_b", F.pmod(F.xxhash64(member), F.col("_s")).cast("int"))
+    left = rows.select(*keys, F.col(member).alias("a"), F.col("_b").alias("_i"), F.explode(F.sequence(F.col("_b"), F.col("_s") - 1)).alias("_j"))
+    right = rows.select(*keys, F.col(member).alias("b"), F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("_i"), F.col("_b").alias("_j"))
+    met = left.join(right, [*keys, "_i", "_j"]).where("_i < _j or a < b")
+    return met.select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def name_edges(nodes: DataFrame) -> DataFrame:
@@ -284,15 +362,28 @@ def name_edges(nodes: DataFrame) -> DataFrame:
             t = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64())], names=["a", "b", "score"])
             yield t.filter(pa.array(s >= MIN_SCORE))
 
-    keyed = nodes.select("node", "brain_id", "name").mapInArrow(run, "node long, brain_id string, band long").select("node", F.xxhash64("brain_id", "band").alias("band"))
-    met = keyed.withColumnRenamed("node", "a").join(keyed.withColumnRenamed("node", "b"), "band").where("a < b").select("a", "b").distinct()
+    def banded(of: DataFrame) -> DataFrame:
+        return of.select("node", "brain_id", "name").mapInArrow(run, "node long, brain_id string, band long").select("node", F.xxhash64("brain_id", "band").alias("band"))
+
+    # a bucket has no more names than its brain
+    wide = cut(nodes.groupBy("brain_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > WIDE).select("brain_id"))
+    wide = None if wide.isEmpty() else wide
+    keyed = banded(nodes if wide is None else nodes.join(wide, "brain_id", "left_anti"))
+    keyed_wide = None if wide is None else banded(nodes.join(wide, "brain_id", "left_semi"))
+    met = keyed.withColumnRenamed("node", "a").join(keyed.withColumnRenamed("node", "b"), "band").where("a < b").select("a", "b")
+    if wide is not None:
+        counted = keyed_wide.join(keyed_wide.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "band")
+        met = met.unionByName(pairs_in_blocks(counted, ["band"], "node").select("a", "b"))
+    met = met.distinct()
     left, right = nodes.select(F.col("node").alias("a"), F.col("name").alias("x")), nodes.select(F.col("node").alias("b"), F.col("name").alias("y"))
     return met.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, score double")
 
 
-def star_clusters(edges: DataFrame, weight: DataFrame, max_rounds: int = 40) -> DataFrame:
+def star_clusters(edges: DataFrame, weight: DataFrame) -> DataFrame:
     """(node, centre) by greedy stars in the order of degree, then ``weight`` (node, w), then node; rounds of joins.
 
+    Every round makes the first of the open nodes a centre at least, so it goes on until none is open.
+
     edges: (a, b), each pair once. Nodes without an edge don't appear.
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
@@ -300,7 +391,7 @@ def star_clusters(edges: DataFrame, weight: DataFrame, max_rounds: int = 40) ->
     rank = degree.select("a", F.struct("d", F.coalesce("w", F.lit(0)).alias("w"), F.col("a").alias("n")).alias("p"))
     open_ = cut(both.join(rank, "a").join(rank.select(F.col("a").alias("b"), F.col("p").alias("q")), "b"))
     done = None
-    for _ in range(max_rounds):
+    while True:
         best = open_.groupBy("a").agg(F.first("p").alias("p"), F.max("q").alias("q"))
         centres = cut(best.where("p > q").select("a", "p"))
         taken = open_.join(centres.select(F.col("a").alias("b")), "b", "left_semi").groupBy("a").agg(F.max("q").alias("c")).select(F.col("a").alias("node"), F.col("c.n").alias("centre"))
@@ -311,15 +402,14 @@ def star_clusters(edges: DataFrame, weight: DataFrame, max_rounds: int = 40) ->
         # nodes whose neighbours are all taken stand alone
         open_ = cut(open_)
         if open_.isEmpty():
-            break
-    return done
+            return done
 
 
 def clustered_names(registry: DataFrame) -> DataFrame:
     """(brain_id, slug, entity): active records with the cluster of their name; a name that is alone is its own."""
     records = cut(named_records(registry).withColumn("node", F.xxhash64("brain_id", "name")))
     nodes = cut(records.groupBy("node").agg(F.first("brain_id").alias("brain_id"), F.first("name").alias("name"), F.first("kind").alias("kind"), F.count(F.lit(1)).alias("n")))
-    edges = cut(name_edges(nodes))
+    edges = cut(name_edges(nodes.where("kind <> 'none'")))
     kind = nodes.select("node", F.col("kind") == "initial")
     a, b = (kind.toDF(c, f"{c}_initial") for c in "ab")
     typed = cut(edges.join(a, "a").join(b, "b"))
@@ -340,6 +430,6 @@ def clustered_names(registry: DataFrame) -> DataFrame:
 def variant_pairs(registry: DataFrame) -> DataFrame:
     """(brain_id, slug_a, slug_b), slug_a < slug_b: all pairs of records within one entity."""
     c = cut(clustered_names(registry))
-    many = c.groupBy("brain_id", "entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("brain_id", "entity")
-    c = c.join(many, ["brain_id", "entity"], "left_semi")
-    return c.select("brain_id", "entity", F.col("slug").alias("slug_a")).join(c.select("brain_id", "entity", F.col("slug").alias("slug_b")), ["brain_id", "entity"]).where("slug_a < slug_b").select("brain_id", "slug_a", "slug_b")
+    many = c.groupBy("brain_id", "entity").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    c = c.join(many, ["brain_id", "entity"])
+    return pairs_in_blocks(c, ["brain_id", "entity"], "slug").select("brain_id", F.col("a").alias("slug_a"), F.col("b").alias("slug_b"))
