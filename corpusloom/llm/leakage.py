@@ -77,7 +77,8 @@ def cased(text: str) -> str:
         text = html.unescape(html.unescape(text))
     if "<" in text:
         text = _TAG.sub("", text)
-    text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text.translate(_INVISIBLE))
     if "-" in text:
         text = _BROKEN.sub("", text)
     return text
@@ -89,7 +90,9 @@ def plain(text: str) -> str:
 
 
 def tokens(text: str, mode: str) -> list[str]:
-    return (_WORD if mode == WORDS else _CHAR).findall(plain(text))
+    """The words (characters) of a text in one case."""
+    written = cased(text)
+    return [w.casefold() for w in _WORD.findall(written)] if mode == WORDS else _CHAR.findall(written.casefold())
 
 
 def _rolled(x: np.ndarray, w: int = WINDOW) -> np.ndarray:
@@ -128,14 +131,11 @@ class Lexicon:
         for w, i in self.number.items():
             self.kind[i] = NUMBER if w.isdigit() else UNIT if unit[w] > 1 else NAME if capital[w] and not other[w] else LITERAL
 
-    def ids(self, words: list[str], capitals: list[bool] | None = None) -> np.ndarray:
-        """Numbers of words; of one that no item has a hash below zero, which tells its type."""
-        get = self.number.get
-        out = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        for i in np.flatnonzero(out < 0).tolist():
-            w = words[i]
-            kind = NUMBER if w.isdigit() else NAME if capitals is not None and capitals[i] else LITERAL
-            out[i] = -1 - ((zlib.crc32(w.encode()) & 0xFFFFFFF) << 2 | kind)
+    def ids(self, words: list[str], codes: np.ndarray | None = None) -> np.ndarray:
+        """Numbers of words; of one that no item has a hash below zero, which tells its type too."""
+        out = Codes(self).of(words) if codes is None else codes.copy()
+        new = np.flatnonzero(out < 0)
+        out[new] = [-1 - ((zlib.crc32(words[i].casefold().encode()) & 0xFFFFFFF) << 2 | -1 - int(out[i])) for i in new.tolist()]
         return out
 
     def kinds(self, ids: np.ndarray) -> np.ndarray:
@@ -152,10 +152,31 @@ class Lexicon:
         enough = plain_[WINDOW:] - plain_[:-WINDOW] >= LITERALS
         return np.where(enough, _rolled(np.where(kinds == LITERAL, ids, -(1 << 40) - kinds)), slots), slots
 
-    def may_match(self, known: np.ndarray) -> bool:
-        """Whether some window has LITERALS words of the items, or nothing but them."""
-        n = np.concatenate([[0], np.cumsum(known >= 0)])
-        return len(known) >= WINDOW and bool((n[WINDOW:] - n[:-WINDOW] >= LITERALS).any())
+
+class Codes(dict):
+    """The numbers of words as they are written, capitals and all; of words that no item has the type alone."""
+
+    def __init__(self, lexicon: Lexicon, most: int = 1_000_000):
+        super().__init__()
+        self.lexicon, self.most = lexicon, most
+
+    def __missing__(self, written: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        code = self.lexicon.number.get(written.casefold())
+        if code is None:
+            code = -1 - (NUMBER if written.isdigit() else NAME if written[0].isupper() else LITERAL)
+        self[written] = code
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def may_match(codes: np.ndarray) -> bool:
+    """Whether some window is free of words that can't be an item's."""
+    bad = np.flatnonzero(codes == -1)
+    return len(codes) >= WINDOW and (len(bad) == 0 or bool((np.diff(bad, prepend=-1, append=len(codes)) > WINDOW).any()))
 
 
 def _ending(text: str) -> tuple[int, str]:
@@ -276,26 +297,27 @@ def _scanned(documents: DataFrame, items: Items) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
+        known_words = {m: Codes(x) for m, x in it.lexicon.items()}
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if not text:
                     continue
                 written = cased(text)
-                clean = written.casefold()
-                for mode, cut in ((WORDS, _WORD), (CHARS, _CHAR)):
+                for mode in (WORDS, CHARS):
                     known, lexicon = it.templates[mode], it.lexicon[mode]
-                    if not len(known) or (mode == CHARS and not _HAS_HAN.search(clean)):
+                    if not len(known) or (mode == CHARS and not _HAS_HAN.search(written)):
                         continue
-                    words = cut.findall(clean)
-                    get = lexicon.number.get
-                    if not lexicon.may_match(np.fromiter((get(w, -1) for w in words), np.int64, len(words))):
+                    words = _WORD.findall(written) if mode == WORDS else _CHAR.findall(written.casefold())
+                    codes = known_words[mode].of(words)
+                    if not may_match(codes):
                         continue
-                    shown = cut.findall(written) if mode == WORDS else []
-                    ids = lexicon.ids(words, [w[0].isupper() for w in shown] if len(shown) == len(words) else None)
-                    t, s = lexicon.windows(ids)
+                    t, s = lexicon.windows(codes)
                     hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t)
-                    for k in range(-(-max(1, len(ids) - OVERLAP) // PIECE)) if len(hit) else ():
+                    if not len(hit):
+                        continue
+                    ids = lexicon.ids(words, codes)
+                    for k in range(-(-max(1, len(ids) - OVERLAP) // PIECE)):
                         own = hit[(hit >= k * PIECE) & (hit <= k * PIECE + PIECE + OVERLAP - WINDOW)]
                         if len(own):
                             for c, v in zip(out, (doc, mode, k, ids[k * PIECE : (k + 1) * PIECE + OVERLAP].astype(np.int32), (own - k * PIECE).astype(np.int32), t[own], s[own]), strict=True):
