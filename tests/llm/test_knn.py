@@ -89,3 +89,52 @@ def test_neighbours_of_every_vector(spark):
     ids = [f"c{i:02}" for i in range(90)]
     n = knn.neighbours(spark.createDataFrame(rows(ids, x), CHUNKS), k=5).groupBy("id").count().collect()
     assert len(n) == 90 and {r["count"] for r in n} == {5}
+
+
+def test_crowded_cells_are_split(spark, monkeypatch):
+    """One dense direction holds most rows: its cell is split until every part is small, and neighbours are still found."""
+    monkeypatch.setattr(knn, "SHARD_ROWS", 150)
+    monkeypatch.setattr(knn, "MOST_ROWS", 300)
+    monkeypatch.setattr(knn, "CELLS", 2)
+    monkeypatch.setattr(knn, "PARTS", 3)
+    monkeypatch.setattr(knn, "SALT_ROWS", 400)
+    rng = np.random.default_rng(8)
+    axis = rng.normal(size=64)
+    base = axis * 3 + rng.normal(size=(700, 64))
+    x = np.concatenate([base, base + rng.normal(size=base.shape) * 0.2, rng.normal(size=(200, 64))]) * rng.uniform(0.3, 4, (1600, 1))
+    ids = [f"c{i:05}" for i in range(len(x))]
+    got = {tuple(r) for r in knn.near_pairs(spark.createDataFrame(rows(ids, x.astype(np.float32)), CHUNKS), 10, 0.93).collect()}
+    want = brute(ids, x, 10, 0.93)
+    assert len(want) > 1000 and len(got & want) / len(want) >= 0.9 and len(got & want) / len(got) >= 0.9
+
+
+@pytest.mark.parametrize("floor", [2000, 20])
+def test_one_direction_at_many_lengths(spark, monkeypatch, floor):
+    """Copies are found by their direction, whatever their length."""
+    monkeypatch.setattr(knn, "COPY_ROWS", floor)
+    x = clustered(201, seed=6)
+    rng = np.random.default_rng(1)
+    x = np.concatenate([x, x[:1] * rng.uniform(0.01, 50, (100, 1))]).astype(np.float32)
+    ids = [f"c{i:03}" for i in range(301)]
+    got = {tuple(r) for r in knn.near_pairs(spark.createDataFrame(rows(ids, x), CHUNKS)).collect()}
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    h = knn.hashes(u.astype(np.float32))
+    assert len(set(h[[0, *range(201, 301)]].tolist())) <= 4  # rounding may part a few
+    first = {ids[0], *ids[201:]}
+    alike = {p for p in got if p[0] in first and p[1] in first}
+    every = {i for p in alike for i in p}
+    assert every == first and len(alike) >= 100 * 10 * 0.9
+
+
+def test_large_graph():
+    """Recall of a graph of 30,000 nodes, as many as no shard holds."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(3000, 64))
+    x = (centres[rng.integers(3000, size=30_000)] + rng.normal(size=(30_000, 64)) * 0.4).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = Graph(x, knn.DEGREE, knn.BEAM)
+    q = np.arange(0, 30_000, 60)
+    ids, _ = g.search(x[q], knn.SEARCH_BEAM)
+    true = np.argsort(-(x[q] @ x.T), axis=1)[:, :10]
+    assert np.mean([len(set(t) & set(i)) / 10 for t, i in zip(true.tolist(), ids.tolist(), strict=True)]) >= 0.95
