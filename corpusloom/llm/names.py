@@ -14,7 +14,7 @@ the collision curve. Monge-Elkan similarity of their words verifies them, and st
   neighbours becomes a centre and takes them. Names that only give an initial join the cluster of the full names they fit if
   that is one cluster.
 
-Cases: null brain, slug or title leaves a record out, and so does a title without a letter or digit; broken alias lists are
+Cases: null brain, slug or title leaves a record out, and so does a title of under three letters (two Han characters); broken alias lists are
 read as far as they go; aliases without two words are junk; a record sent twice counts once; names without two words (or
 letters) match equal names only; two capitals after a single word are read as initials, so "Siemens AG" also meets a person
 of that name with these initials.
@@ -228,7 +228,7 @@ def word_similarity(a: str, b: str) -> float:
         if min(len(x), len(y)) >= 4:
             if x == y:
                 return 0.95
-            if max(len(x), len(y)) > 5 and soft_distance(x, y, MOST) <= MOST:
+            if 5 < max(len(x), len(y)) < 40 and soft_distance(x, y, MOST) <= MOST:
                 return 0.9
     x, y = sound(a), sound(b)
     if FULL_SOUND.get(x, x) == FULL_SOUND.get(y, y) and x != y:
@@ -328,7 +328,7 @@ def named_records(registry: DataFrame) -> DataFrame:
             names = [record_name(t, aliases_of(a, s)) for s, t, a in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array([kind_of(n) for n in names], pa.string())], names=["brain_id", "slug", "name", "kind"])
 
-    return now.mapInArrow(run, "brain_id string, slug string, name string, kind string").where("name <> ''")
+    return now.mapInArrow(run, "brain_id string, slug string, name string, kind string").where(F.length(F.regexp_replace("name", "[ .]", "")) >= F.when(F.col("name").rlike(r"\p{IsHan}"), 2).otherwise(3))
 
 
 def pairs_in_blocks(rows: DataFrame, keys: list[str], member: str, n: str = "n", block: int | None = None) -> DataFrame:

@@ -79,3 +79,50 @@ def test_a_third_of_all_rows_under_one_name(spark):
     rows = [("b", f"h{i:03}", "active", "Katherine Pryviquist", None) for i in range(60)] + [("b", f"p{i:03}", "active", f"Person{chr(97 + i % 26)}{chr(97 + i // 26)} Surname{chr(97 + i // 5 % 26)}{i}", None) for i in range(120)]
     got = pairs(spark, rows)
     assert {p for p in got if p[1].startswith("h") and p[2].startswith("h")} == {("b", f"h{i:03}", f"h{j:03}") for i in range(60) for j in range(i + 1, 60)}
+
+
+@pytest.mark.parametrize(
+    ("a", "b"),
+    [
+        ("Catherine Wong", "Cathy Wong"), ("Sophia Turner", "Sofia Turner"), ("Aleksandr Petrov", "Alexander Petrov"), ("Mohammed Ali Khan", "Muhammad Ali Khan"), ("Guillermo Diaz", "Memo Diaz"), ("Bertlesman Media Holdng", "Bertelsmann Media Holding"),
+        ("Philipp Schmidt", "Filip Schmitt"), ("Cortuton MR", "Maria Rosa Cortuton"), ("Jeffrey Lewis", "Jeffery Lewis"), ("Krystyna Nowak", "Kristina Nowak"),
+    ],
+)
+def test_names_people_type(a, b):
+    assert score(a, b) >= names.MIN_SCORE and score(b, a) >= names.MIN_SCORE
+
+
+@pytest.mark.parametrize(("a", "b"), [("Michael Wong", "Michelle Wong"), ("Anna Keller", "Peter Keller"), ("Martin Keller", "Martina Kellner"), ("Christopher Halnobach", "Christopher Halcobeck"), ("Bosch GmbH", "Bosch Ltd"), ("Sara Lee", "Sara Li Ming")])
+def test_other_people(a, b):
+    assert score(a, b) < names.MIN_SCORE and score(b, a) < names.MIN_SCORE
+
+
+def test_soft_distance():
+    assert names.soft_distance("moamed", "muamad", 1) == 1.0 and names.soft_distance("abc", "acb", 2) == 1.0 and names.soft_distance("abc", "abcde", 1) == float("inf") and names.soft_distance("", "", 0) == 0
+
+
+def test_short_names_link_when_equal(spark):
+    rows = [("b", "1", "active", "Bosch GmbH", None), ("b", "2", "active", "Bosch G.m.b.H.", "[]"), ("b", "3", "active", "Bosch Ltd", None), ("b", "4", "active", "张伟", None), ("b", "5", "active", "张伟", None), ("b", "6", "active", "Weber", None), ("b", "7", "active", "Anna Weber", None), ("b", "8", "active", "??", None), ("b", "9", "active", "??", None)]
+    assert pairs(spark, rows) == {("b", "1", "2"), ("b", "4", "5")}
+
+
+def test_long_chain_of_stars(spark):
+    """A chain of rising weight is clustered to its end, however many rounds that takes."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 160)], "a long, b long")
+    w = spark.createDataFrame([(i, i) for i in range(1, 161)], "node long, w long")
+    got = {r["node"]: r["centre"] for r in names.star_clusters(edges, w).collect()}
+    assert len(got) == 159 and all(abs(n - c) <= 1 for n, c in got.items())  # node 1, whose only neighbour is taken, stands alone
+
+
+def test_blocks_give_every_pair_once(spark):
+    df = spark.createDataFrame([(k, f"m{i:02}", n) for k, n in (("x", 23), ("y", 1), ("z", 5)) for i in range(n)], "k string, m string, n long")
+    got = [tuple(r) for r in names.pairs_in_blocks(df, ["k"], "m", block=4).collect()]
+    assert sorted(got) == sorted((k, f"m{i:02}", f"m{j:02}") for k, n in (("x", 23), ("z", 5)) for j in range(n) for i in range(j))
+
+
+def test_brains_with_many_names(spark, monkeypatch):
+    rows = [("b", f"{i}", "active", t, None) for i, t in enumerate(["Bill Ulmpaquist", "William Ulmpaquist", "Ulmpaquist, Wiliam", "Marta Grimkin", "Marta Grimkim", "Leila Nadvadell", "Jon Silreton", "Jonathan Silreton"])]
+    want = pairs(spark, rows)
+    monkeypatch.setattr(names, "WIDE", 2)
+    monkeypatch.setattr(names, "BLOCK", 2)
+    assert pairs(spark, rows) == want and len(want) == 5
