@@ -98,7 +98,8 @@ def test_other_people(a, b):
 
 
 def test_soft_distance():
-    assert names.soft_distance("moamed", "muamad", 1) == 1.0 and names.soft_distance("abc", "acb", 2) == 1.0 and names.soft_distance("abc", "abcde", 1) == float("inf") and names.soft_distance("", "", 0) == 0
+    d = names.soft_distance
+    assert d("moamed", "muamad") == 1.0 and d("abc", "acb") == 1.0 and d("abac", "abec") == 0.5 and d("abc", "abcde") == float("inf") and d("", "") == 0 and d("abb", "aec") == float("inf")
 
 
 def test_short_names_link_when_equal(spark):
