@@ -32,6 +32,13 @@ def bigrams(text: Column) -> Column:
     return F.when(F.length(t) <= 1, F.filter(F.array(t), lambda x: x != "")).otherwise(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b)))
 
 
+def letter_pairs(text: Column) -> Column:
+    """Overlapping pairs of characters of the text as it is, blanks and capitals included; a single character is its own gram."""
+    c = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    n = F.greatest(F.size(c) - 1, F.lit(0))
+    return F.when(F.size(c) <= 1, c).otherwise(F.zip_with(F.slice(c, F.lit(1), n), F.slice(c, F.lit(2), n), lambda a, b: F.concat(a, b)))
+
+
 def has_all_bigrams(text: Column, query: Column) -> Column:
     return F.size(F.array_except(bigrams(query), bigrams(text))) == 0
 
@@ -87,8 +94,8 @@ def source_prefix(path: Column) -> Column:
 
 
 def layer_key(path: Column) -> Column:
-    """Order of layers where scores tie: skills, experiences, abstracts, the rest."""
-    return F.when(path.contains("/skills/"), 0).when(path.contains("/experiences/"), 1).when(path.endswith(".abstract.md"), 2).otherwise(3)
+    """Order of layers where scores tie: skills, experiences, notes, decisions and lessons of a source, the rest."""
+    return F.when(path.contains("/skills/"), 0).when(path.contains("/experiences/"), 1).when(path.rlike("/sources/[^/]+/(notes|decisions|lessons)/"), 2).otherwise(3)
 
 
 def bucket(path: Column) -> Column:

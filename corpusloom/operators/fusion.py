@@ -8,15 +8,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
-from corpusloom.operators.keyword import query_bigrams
+from corpusloom.functions.vector import let
 from corpusloom.operators.skew import hot_keys, salted_join
 
 RRF_K = 60
-#: Weights of keyword, semantic, graph, title and path, entity, by intent; without and with vectors.
+#: Weights of keyword, semantic, graph, title and path, entity, by intent; without vectors, and without a graph.
 WEIGHTS = {
-    ("general", True): (0.35, 0.35, 0.15, 0.10, 0.05), ("general", False): (0.70, 0.0, 0.15, 0.10, 0.05), ("relation", True): (0.20, 0.20, 0.45, 0.05, 0.10),
-    ("relation", False): (0.35, 0.0, 0.45, 0.10, 0.10), ("experience", True): (0.30, 0.40, 0.10, 0.10, 0.10), ("experience", False): (0.65, 0.0, 0.10, 0.15, 0.10),
-}
+    "general": (0.35, 0.20, 0.20, 0.10, 0.15),
+    "task": (0.35, 0.20, 0.20, 0.10, 0.15),
+    "relation": (0.20, 0.15, 0.45, 0.10, 0.10),
+    "person": (0.25, 0.15, 0.15, 0.10, 0.35),
+    "experience": (0.30, 0.25, 0.15, 0.15, 0.15),
+}
+NO_VECTORS = (0.55, 0.0, 0.30, 0.10, 0.05)
+NO_VECTORS_RELATION = (0.30, 0.0, 0.55, 0.10, 0.05)
+CONSERVATIVE = (0.75, 0.0, 0.15, 0.05, 0.05)
+NO_GRAPH = (0.45, 0.45, 0.0, 0.10, 0.0)
+NO_GRAPH_CONSERVATIVE = (0.90, 0.0, 0.0, 0.10, 0.0)
+EXPERIENCE_BONUS = 0.3
 TIE = 0.002
 
 
@@ -43,18 +52,40 @@ def scaled(rrf_: Column, opts: Options, k: int = RRF_K) -> Column:
     return F.when(s >= opts.per_arm_min, s).otherwise(0.0)
 
 
-def fused(arms: DataFrame, boosts: DataFrame | None = None, intent: str = "general", semantic: bool = True, opts: Options = Options()) -> DataFrame:
-    """(path, keyword, semantic, graph, title_path, entity, score, evidence) from arms (arm, path, score, [evidence])."""
+def weights_of(intent: str = "general", semantic: bool = True, mode: str = "balanced", graph: bool = True) -> tuple[float, float, float, float, float]:
+    """What each part of a score weighs. ``semantic``: there are hits by vectors; ``graph``: the graph was asked."""
+    semantic = semantic and mode != "conservative"
+    if not graph:
+        return NO_GRAPH if semantic else NO_GRAPH_CONSERVATIVE
+    if mode == "conservative":
+        return CONSERVATIVE
+    if not semantic:
+        return NO_VECTORS_RELATION if intent == "relation" else NO_VECTORS
+    return WEIGHTS[intent]
+
+
+def fused(arms: DataFrame, boosts: DataFrame | None = None, intent: str = "general", semantic: bool = True, opts: Options = Options(), mode: str = "balanced", graph: bool = True) -> DataFrame:
+    """(path, keyword, semantic, graph, title_path, entity, score, evidence) from arms (arm, path, score).
+
+    boosts: (path, title_path, entity), either of the two may be missing. ``evidence`` names the parts that count. An
+    experience page counts as an entity by EXPERIENCE_BONUS more where experience is asked for.
+    """
     r = rrf(arms).withColumn("s", scaled(F.col("rrf"), opts))
     one = lambda a: F.coalesce(F.max(F.when(F.col("arm") == a, F.col("s"))), F.lit(0.0)).alias(a)
-    wide = r.groupBy("path").agg(one("keyword"), one("semantic"), one("graph"), F.array_sort(F.collect_set("arm")).alias("evidence"))
+    wide = r.groupBy("path").agg(one("keyword"), one("semantic"), one("graph"))
+    if mode == "conservative":
+        wide = wide.withColumn("semantic", F.lit(0.0))
     if boosts is not None:
         wide = wide.join(boosts, "path", "left")
     for c in ("title_path", "entity"):
         wide = wide.withColumn(c, F.coalesce(F.col(c) if boosts is not None and c in boosts.columns else F.lit(0.0), F.lit(0.0)))
-    b, s, g, t, e = WEIGHTS[(intent, semantic)]
-    score = b * F.col("keyword") + s * F.col("semantic") + g * F.col("graph") + t * F.col("title_path") + e * F.col("entity")
-    return wide.withColumn("score", score).where(F.col("score") >= opts.fused_min)
+    if intent == "experience":
+        wide = wide.withColumn("entity", F.when(F.col("path").contains("/experiences/"), F.least(F.lit(1.0), F.col("entity") + EXPERIENCE_BONUS)).otherwise(F.col("entity")))
+    parts = ("keyword", "semantic", "graph", "title_path", "entity")
+    score = sum((w * F.col(c) for w, c in zip(weights_of(intent, semantic, mode, graph), parts, strict=True)), F.lit(0.0))
+    named = {"keyword": F.col("keyword") > 0, "semantic": F.col("semantic") > 0, "graph": F.col("graph") > 0, "entity": F.col("entity") > 0, "title": F.col("title_path") >= 0.7, "path": (F.col("title_path") > 0) & (F.col("title_path") < 0.7)}
+    evidence = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()])))
+    return wide.withColumn("score", score).withColumn("evidence", evidence).where(F.col("score") >= opts.fused_min)
 
 
 def title_path_boost(title: Column, path: Column, query: str) -> Column:
@@ -63,6 +94,29 @@ def title_path_boost(title: Column, path: Column, query: str) -> Column:
     return F.least(F.lit(1.0), F.when(F.contains(F.lower(F.coalesce(title, F.lit(""))), q), 0.7).otherwise(0.0) + F.when(F.contains(F.lower(path), q), 0.3).otherwise(0.0))
 
 
+def asked_entities(entities: DataFrame, query: str, most: int = 20) -> DataFrame:
+    """(brain_id, slug, title): the first ``most`` records, merged ones aside, whose slug, title or aliases hold the query."""
+    q = F.lit(query.strip().lower())
+    has = F.lit(False)
+    for c in ("slug", "title", "aliases_json"):
+        has = has | F.contains(F.lower(F.coalesce(c, F.lit(""))), q)
+    e = entities.where(F.coalesce(F.col("status"), F.lit("")) != "merged").where(has & (q != ""))
+    return e.select("brain_id", F.coalesce(F.when(F.col("canonical_slug") != "", F.col("canonical_slug")), "slug").alias("slug"), "title").orderBy("brain_id", "slug", "title").limit(most)
+
+
+def entity_mentions(pages: DataFrame, links: DataFrame, asked: DataFrame, most: int = 50) -> DataFrame:
+    """(path, kind) for ``entity_boost``: pages of the brain that link to an entity, its own page, and the first ``most`` that name it."""
+    a = F.broadcast(asked.select("brain_id", F.lower("slug").alias("_slug"), F.lower(F.coalesce("title", "slug")).alias("_title"), F.col("slug").alias("_as")))
+    linked = links.where("from_path is not null").select("brain_id", F.lower("to_ref").alias("_slug"), F.col("from_path").alias("path")).join(a, ["brain_id", "_slug"]).select("path", "_slug", "_title").distinct()
+    own = asked.select(F.concat(F.lit("brains/"), "brain_id", F.lit("/entities/"), "slug", F.lit(".md")).alias("path"))
+    text = F.lower(F.concat_ws("\n", "title", "body_text"))
+    named = pages.select("brain_id", "path", text.alias("_text")).join(a, "brain_id").where(F.contains("_text", F.col("_slug")) | F.contains("_text", F.col("_title")))
+    rank = F.row_number().over(Window.partitionBy("brain_id", "_slug", "_title").orderBy("path"))
+    named = named.select("path", "brain_id", "_slug", "_title").withColumn("_r", rank).where(F.col("_r") <= most)
+    kind = lambda df, k: df.select("path", F.lit(k).alias("kind"))
+    return kind(linked, "link").unionByName(kind(own, "entity")).unionByName(kind(named, "mention"))
+
+
 def entity_boost(mentions: DataFrame) -> DataFrame:
     """(path, entity) from (path, kind): .5 per linking page, .8 for the entity's own page, .45 for a mention, at most 1."""
     part = F.when(F.col("kind") == "link", 0.5).when(F.col("kind") == "entity", 0.8).otherwise(0.45)
@@ -133,29 +187,38 @@ def directories_first(hits: DataFrame) -> DataFrame:
     return h.withColumn("place", F.row_number().over(Window.orderBy("dir_rank", F.desc("score"), "path")))
 
 
-def local_rerank(text: Column, title: Column, query: str) -> Column:
-    """3 for the phrase in the text, 2 for it in the title, .5 for each bigram of the query in the text."""
-    q, t = query.strip().lower(), F.lower(F.coalesce(text, F.lit("")))
-    s = F.when(t.contains(q), 3.0).otherwise(0.0) + F.when(F.lower(F.coalesce(title, F.lit(""))).contains(q), 2.0).otherwise(0.0)
-    for g in query_bigrams(query):
-        s = s + F.when(t.contains(g), 0.5).otherwise(0.0)
-    return s
+def local_rerank(snippet: Column, title: Column, query: str) -> Column:
+    """3 for the phrase in title and snippet, 2 for it in the title, .5 for each bigram of the query in title and snippet."""
+    q = query.strip().lower()
+    if not q:
+        return F.lit(0.0)
+    head = F.lower(F.coalesce(title, F.lit("")))
+    t = F.concat(head, F.lit(" "), F.lower(F.coalesce(snippet, F.lit(""))))
+    flat = "".join(q.split())
+    grams = [flat[i : i + 2] for i in range(max(1, len(flat) - 1))]
+    return sum((F.when(t.contains(g), 0.5).otherwise(0.0) for g in grams), F.when(t.contains(q), 3.0).otherwise(0.0) + F.when(head.contains(q), 2.0).otherwise(0.0))
 
 
 def layer_tie_order(hits: DataFrame) -> DataFrame:
-    """``hits`` with ``place``: by score, but the layer decides between neighbours less than TIE apart.
+    """``hits`` with ``place``: by score, but the layer decides between two less than TIE apart.
 
-    The comparison isn't transitive, so it is a sort of one array of at most a few dozen hits, from (score, path) order.
+    That comparison isn't transitive, so the order is defined by insertion: from (score, path) order, each hit moves up past
+    those it goes before, until one that it doesn't. ``hits`` is a search's top-k: its rows are one array.
     """
     row = F.struct("score", T.layer_key(F.col("path")).alias("layer"), "path")
 
-    def compare(a: Column, b: Column) -> Column:
+    def stays(a: Column, b: Column) -> Column:
+        """Whether ``a``, which came later, stays behind ``b``."""
         d = b["score"] - a["score"]
-        by_path = F.when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)
-        by_score = F.when(d > 0, 1).when(d < 0, -1).otherwise(by_path)
-        return F.when((F.abs(d) < TIE) & (a["layer"] != b["layer"]), a["layer"] - b["layer"]).otherwise(by_score)
+        behind = (d > 0) | ((d == 0) & (a["path"] >= b["path"]))
+        return F.when((F.abs(d) < TIE) & (a["layer"] != b["layer"]), a["layer"] > b["layer"]).otherwise(behind)
+
+    def insert(placed: Column, x: Column) -> Column:
+        at = F.array_max(F.transform(placed, lambda y, i: F.when(stays(x, y), i + 1).otherwise(0)))
+        return let(F.coalesce(at, F.lit(0)), lambda n: F.concat(F.slice(placed, F.lit(1), n), F.array(x), F.slice(placed, n + 1, F.greatest(F.size(placed) - n, F.lit(0)))))
 
-    first = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), F.col("path").alias("_p"), row.alias("r"))))
-    rows = hits.agg(F.transform(first, lambda x: x["r"]).alias("rows")).select(F.array_sort("rows", compare).alias("rows"))
+    kind = "array<struct<score:double,layer:int,path:string>>"
+    first = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_s"), F.col("path").alias("_p"), row.alias("r")))), lambda x: x["r"])
+    rows = hits.agg(first.cast(kind).alias("rows")).select(F.aggregate("rows", F.array().cast(kind), insert).alias("rows"))
     placed = rows.select(F.posexplode("rows").alias("_i", "r")).select(F.col("r.path").alias("path"), (F.col("_i") + 1).alias("place"))
     return hits.join(placed, "path")

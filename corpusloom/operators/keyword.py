@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,8 +24,6 @@ def best_first(score: str) -> Column:
 
 
 def query_words(query: str) -> list[str]:
-    import re
-
     return list(dict.fromkeys(w for w in re.split(r"[\W_]+", query.lower()) if w))
 
 
@@ -133,23 +132,28 @@ def indexed_search(postings: DataFrame, query: str, limit: int = 10, brain_id: s
     return scored.groupBy("path").agg(F.sum("s").alias("score")).where("score > 0").orderBy(best_first("score"), "path").limit(limit)
 
 
-#: Words that a question is made of.
-STOP_WORDS = {"the", "a", "an", "of", "to", "in", "on", "for", "is", "are", "what", "who", "how", "why", "when", "where", "which", "do", "does", "did", "的", "了", "吗", "什么", "怎么", "如何", "为什么", "哪个"}
-
+#: Words and Chinese characters that say nothing, and what is added to a query that has no other form.
+STOP_WORDS = {"the", "a", "an", "of", "for", "to", "in", "on", "and", "or", "is", "at"}
+STOP_CHARS = set("的了吗呢是在和与或及等被把就都也")
+RELATED = " 相关"
 
-def expanded(query: str, most: int = 3) -> list[str]:
-    """The query and at most ``most`` other ways to ask it: without stop words, Han characters apart, words turned round."""
-    import re
 
-    q = query.strip()
-    kept = [w for w in q.split() if w.lower() not in STOP_WORDS]
-    forms = [q, " ".join(kept), " ".join(re.findall(r"[㐀-鿿]|[^\s㐀-鿿]+", q)), " ".join(kept[::-1])]
-    return list(dict.fromkeys(f for f in forms if f))[: most + 1]
+def expanded(query: str, most: int = 2) -> list[str]:
+    """The query and at most ``most`` other ways to ask it: without stop words, its Han characters apart, its words turned round."""
+    words = query.split()
+    if not words:
+        return []
+    plain = " ".join(query.split())
+    kept = "".join(c for c in " ".join(w for w in words if w.lower() not in STOP_WORDS) if c not in STOP_CHARS)
+    han = re.findall(r"[㐀-䶿一-鿿豈-﫿]", query)
+    forms = [plain, " ".join(kept.split()), " ".join(han) if len(han) > 1 else "", " ".join(words[::-1]) if len(words) > 1 else ""]
+    forms = list(dict.fromkeys(f for f in forms if f))
+    return (forms if len(forms) > 1 else [plain, plain + RELATED])[: most + 1]
 
 
 def merged_groups(hits: DataFrame) -> DataFrame:
     """(path, rrf): hits of several forms of a query (group, path, score) put together by the sum of 1 / (60 + rank)."""
-    rank = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("score"), "path"))
+    rank = F.row_number().over(Window.partitionBy("group").orderBy(best_first("score"), "path"))
     return hits.withColumn("_r", rank).groupBy("path").agg(F.sum(1.0 / (RRF_K + F.col("_r"))).alias("rrf"))
 
 

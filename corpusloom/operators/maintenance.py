@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
@@ -19,9 +19,11 @@ def lint(pages: DataFrame) -> DataFrame:
 
 
 def lint_summary(pages: DataFrame, sample: int = 10) -> DataFrame:
-    """(issue, n, sample): counts, and the first paths of each issue by min-sized partial aggregation."""
+    """(issue, n, sample): counts, and the first ``sample`` paths of each issue; ranks are cut in every task before the shuffle."""
     f = lint(pages)
-    return f.groupBy("issue").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first_path"))
+    first = f.withColumn("_r", F.row_number().over(Window.partitionBy("issue").orderBy("path"))).where(F.col("_r") <= sample)
+    first = first.groupBy("issue").agg(F.array_sort(F.collect_list("path")).alias("sample"))
+    return f.groupBy("issue").agg(F.count(F.lit(1)).alias("n")).join(first, "issue")
 
 
 def facts(pages: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ SIDE_FILES = (".overview.md", ".abstract.md")
 #: Limits and vocabularies of a page.
 TITLE_CHARS, BODY_CHARS = 200, 200_000
 STATUSES = ("active", "archived", "stale")
-LINK_TYPES = ("mentions", "references", "belongs_to", "works_on", "decided", "related_to")
+LINK_TYPES = ("mentions", "references", "decided", "produced_by", "works_on", "belongs_to", "works_at", "founded", "invested_in", "advises")
 
 
 def current_pages(pages: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -152,23 +153,53 @@ def latest_status(rows: DataFrame, key: str = "session_id", status: str = "statu
 
 
 #: Words that make a message ask the memory or not, and what each group counts.
-GATE = [
-    (3, ("remember", "recall", "last time", "previously", "记得", "上次", "之前")), (3, ("what did we", "did we decide", "决定", "结论")), (2, ("why", "how", "为什么", "怎么")), (2, ("who", "谁")),
-    (1, ("?", "？")), (-3, ("thanks", "thank you", "谢谢")), (-2, ("ok", "好的")),
-]
+HISTORY = ["以前", "上次", "谁决定", "踩过", "我们约定", "last time", "how did we"]
+CONVENTION = ["依赖", "目录结构", "错误码", "鉴权", "公共 api", "memory.yml", "errorcodes"]
+OPERATIONAL = ["实现", "修复", "重构", "部署", "写入", "create", "implement", "fix", "deploy", "build"]
+EXECUTE = ["测试", "构建", "调试", "test", "build", "debug", "run"]
+FAILURE = ["报错", "失败", "异常", "timeout", "exception", "error", "e_"]
+ENGINEERING = ["errorcodes", "hook", "api", "pack", "memory.yml"]
+EXPERIENCE = ["踩坑", "教训", "best practice", "avoid"]
+CONVERSATIONAL = ["你好", "谢谢", "好的", "ok", "继续", "再试", "修一下", "lint 一下", "翻译", "总结这段"]
+KNOWLEDGE = ["什么是", "what is", "what's"]
+FORCED = "查一下记忆"
+GATE = [(3, HISTORY), (3, CONVENTION), (3, OPERATIONAL), (2, EXECUTE), (1, EXPERIENCE), (-3, CONVERSATIONAL)]
+FAILURE_POINTS, FAILURE_LEAST = 2, 2
+ENGINEERING_POINTS, KNOWLEDGE_POINTS, REPEAT_POINTS = 2, -2, -3
 GATE_LEAST, GATE_CHARS = 3, 4
+#: A path or a file name in a lower-case text.
+PATH_LIKE = r"""(^|[\s`'"])([a-z0-9_.-]+/)+[a-z0-9_.-]+|\.[a-z]{1,8}([^a-z0-9_]|$)"""
 
 
-def gate_score(text: Column) -> Column:
-    """The sum of the groups of which a word occurs in the text."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    score = F.lit(0)
-    for points, some in GATE:
-        hit = F.lit(False)
-        for w in some:
-            hit = hit | t.contains(w)
-        score = score + F.when(hit, points).otherwise(0)
-    return score
+def _has(text: Column, words: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
+def gate_score(text: Column, fail_count: Column | int = 0) -> Column:
+    """What the words of a message speak for asking the memory; ``fail_count``: failures before it in a row."""
+    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    fails = fail_count if isinstance(fail_count, Column) else F.lit(fail_count)
+    path = t.rlike(PATH_LIKE)
+    score = reduce(lambda a, b: a + b, [F.when(_has(t, words), points).otherwise(0) for points, words in GATE])
+    score = score + F.when(_has(t, FAILURE) & (fails >= FAILURE_LEAST), FAILURE_POINTS).otherwise(0)
+    score = score + F.when(_has(t, ENGINEERING) | path, ENGINEERING_POINTS).otherwise(0)
+    busy = _has(t, OPERATIONAL) | _has(t, EXECUTE) | _has(t, ENGINEERING) | _has(t, CONVENTION) | path
+    return score + F.when(_has(t, KNOWLEDGE) & ~busy, KNOWLEDGE_POINTS).otherwise(0)
+
+
+def gate_command(text: Column, score: Column, fail_count: Column | int = 0, session_start: Column | bool = False) -> Column:
+    """``think``, ``find`` or null: whether and how a message of this score asks the memory.
+
+    Short messages and those that carry memory themselves don't; the start of a session always thinks; /memory and FORCED
+    always find; else the score decides, and what is to be done or keeps failing thinks.
+    """
+    t = F.trim(F.coalesce(text, F.lit("")))
+    low = F.lower(t)
+    fails = fail_count if isinstance(fail_count, Column) else F.lit(fail_count)
+    start = session_start if isinstance(session_start, Column) else F.lit(session_start)
+    thinks = _has(low, OPERATIONAL) | (fails >= FAILURE_LEAST)
+    asked = F.when(start, "think").when(low.rlike(r"^/memory(\s|$)") | t.contains(FORCED), "find").when(score >= GATE_LEAST, F.when(thinks, "think").otherwise("find"))
+    return F.when((F.length(t) >= GATE_CHARS) & ~t.contains("<df-memory-context"), asked)
 
 
 def recall_gate(turns: DataFrame) -> DataFrame:
@@ -176,5 +207,5 @@ def recall_gate(turns: DataFrame) -> DataFrame:
     u = turns.where(F.lower(F.trim("role")) == "user").select("turn_id", "session_id", "turn", "text")
     before = F.lag("text").over(Window.partitionBy("session_id").orderBy("turn", "turn_id"))
     same = F.coalesce(T.jaccard(F.array_distinct(T.words(F.col("text"))), F.array_distinct(T.words(before))) >= 0.5, F.lit(False))
-    score = gate_score(F.col("text")) - F.when(same, 3).otherwise(0)
-    return u.withColumn("score", score).select("turn_id", "session_id", "score", ((F.col("score") >= GATE_LEAST) & (F.length(F.trim("text")) >= GATE_CHARS)).alias("asks")).na.fill({"asks": False})
+    scored = u.withColumn("score", gate_score(F.col("text")) + F.when(same, REPEAT_POINTS).otherwise(0))
+    return scored.select("turn_id", "session_id", "score", gate_command(F.col("text"), F.col("score")).isNotNull().alias("asks"))

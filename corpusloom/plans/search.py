@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,22 @@ from corpusloom.operators.semantic import vector_search
 from corpusloom.session import cut
 
 
+#: Patterns of a relation, then words of an intent in the order in which they are looked for.
+RELATION_PATTERNS = [r"谁\s*(负责|提到|提及)", r"(.+?)\s*的\s*(负责人|依赖|引用)", r"(?i)\breferences\b", r"提到了"]
+INTENT_WORDS = [("person", ["谁", "@", "负责人", "人员"]), ("experience", ["经验", "lesson", "踩坑", "experience"]), ("task", ["issue", "工单", "需求", "bug", "任务"])]
+OF, OF_CHARS = r"^.+的.+$", 40
+
+
 def intent_of(question: str) -> str:
-    if parse_relation(question):
+    """relation, person, experience, task or general. An @ asks for a person where a name follows it."""
+    q = question.strip()
+    if any(re.search(p, q) for p in RELATION_PATTERNS):
         return "relation"
-    if any(w in question.lower() for w in ("lesson", "experience", "how did we", "经验", "教训", "踩坑")):
-        return "experience"
-    return "general"
+    named = re.search(r"@[a-zA-Z0-9_-]+", q) is not None
+    for intent, words in INTENT_WORDS:
+        if any(named if w == "@" else w in q.lower() for w in words):
+            return intent
+    return "relation" if len(q) <= OF_CHARS and re.match(OF, q) else "general"
 
 
 def arms(pages: DataFrame, query: str, limit: int, chunks: DataFrame | None = None, vector: list[float] | None = None, links: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
@@ -34,18 +46,24 @@ def arms(pages: DataFrame, query: str, limit: int, chunks: DataFrame | None = No
 
 
 def hybrid_search(
-    pages: DataFrame, query: str, now: str, chunks: DataFrame | None = None, vector: list[float] | None = None, links: DataFrame | None = None, start: DataFrame | None = None, opts: X.Options = X.Options()
+    pages: DataFrame, query: str, now: str, chunks: DataFrame | None = None, vector: list[float] | None = None, links: DataFrame | None = None, start: DataFrame | None = None, opts: X.Options = X.Options(),
+    entities: DataFrame | None = None, mode: str = "balanced",
 ) -> DataFrame:
     """(path, title, score, evidence, keyword, semantic, graph, title_path, entity, snippet): the best ``opts.limit`` pages.
 
     ``pages`` comes filtered (``operators.pages.readable``), so filters hold before any top-k. The parts of the score stay as
     columns: they are the explanation.
     """
+    if mode == "conservative":
+        vector = None
     a = arms(pages, query, opts.limit, chunks, vector, links, start)
     boosts = pages.select("path", X.title_path_boost(F.col("title"), F.col("path"), query).alias("title_path")).where("title_path > 0")
+    if entities is not None and links is not None:
+        named = X.entity_boost(X.entity_mentions(pages, links, X.asked_entities(entities, query)))
+        boosts = boosts.join(named, "path", "full_outer")
     # at most 9 x limit rows from here on, read by every signal: the arms run once
     a = cut(a)
-    hits = X.fused(a, boosts, intent_of(query), vector is not None, opts)
+    hits = X.fused(a, boosts, intent_of(query), vector is not None, opts, mode, graph=start is not None)
     if vector is not None:
         cos = a.where("arm = 'semantic'").select("path", F.col("score").alias("cos"))
         hits = X.cosine_rescored(hits.join(cos, "path", "left"), opts.cosine_share).drop("cos")

@@ -207,7 +207,15 @@ QUERIES = {
 
 _T = """t AS (SELECT session_id, turn, turn_id, role, text FROM turns WHERE session_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, turn ORDER BY turn_id) = 1),
 c AS (SELECT *, lower(trim(role)) IN ('user', 'assistant') AS k FROM t)"""
-_GATE = "(" + " + ".join("CASE WHEN " + " OR ".join(f"contains(lower(coalesce(text, '')), '{w}')" for w in ws) + f" THEN {p} ELSE 0 END" for p, ws in sessions.GATE) + ")"
+def _any(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(g, '{w.replace(chr(39), chr(39) * 2)}')" for w in words) + ")"
+
+
+_LIKE = f"regexp_matches(g, '{sessions.PATH_LIKE.replace(chr(39), chr(39) * 2)}')"
+_GATE = (
+    "(" + " + ".join(f"CASE WHEN {_any(ws)} THEN {p} ELSE 0 END" for p, ws in sessions.GATE) + f" + CASE WHEN {_any(sessions.ENGINEERING)} OR {_LIKE} THEN 2 ELSE 0 END"
+    + f" - CASE WHEN {_any(sessions.KNOWLEDGE)} AND NOT ({_any(sessions.OPERATIONAL)} OR {_any(sessions.EXECUTE)} OR {_any(sessions.ENGINEERING)} OR {_any(sessions.CONVENTION)} OR {_LIKE}) THEN 2 ELSE 0 END)"
+)
 _MEMO = r"<[a-z]+-memory-context\b[^>]*>.*?</[a-z]+-memory-context>"
 _NAMES = """nm AS (SELECT DISTINCT brain_id, slug, status, lower(trim(x)) AS name FROM (
   SELECT brain_id, slug, status, unnest(list_concat([slug, title], coalesce(CASE WHEN json_valid(aliases_json) THEN from_json(aliases_json, '["VARCHAR"]') END, []))) AS x FROM rec) WHERE trim(x) <> '')"""
@@ -226,10 +234,10 @@ SELECT session_id, CAST(w AS INTEGER) AS "window", CAST(f AS INTEGER) AS first_t
 SELECT turn_id, session_id, turn FROM w WHERE NOT coalesce(k, false) OR s <= 800 OR n = 1""",
     "clean_turns": f"""WITH t AS (SELECT turn_id, role, regexp_replace(text, '{_MEMO}', '', 'gis') AS t FROM turns) SELECT turn_id, md5(coalesce(CASE WHEN lower(trim(role)) = 'tool' THEN substr(t, 1, 2000) ELSE t END, '')) AS text_md5 FROM t""",
     "latest_status": "SELECT session_id, arg_max(status, created_at) AS status, max(created_at) AS created_at FROM inbox_meta GROUP BY 1",
-    "gate_scores": f"SELECT turn_id, CAST({_GATE} AS INTEGER) AS score FROM turns",
+    "gate_scores": f"WITH t AS (SELECT turn_id, lower(trim(coalesce(text, ''), ' ')) AS g FROM turns) SELECT turn_id, CAST({_GATE} AS INTEGER) AS score FROM t",
     "recall_gate": rf"""WITH {_T}, u AS (SELECT turn_id, text, list_distinct({WORDS.format('text')}) AS w, lag(list_distinct({WORDS.format('text')})) OVER (PARTITION BY session_id ORDER BY turn, turn_id) AS p FROM c WHERE lower(trim(role)) = 'user'),
-s AS (SELECT text, {_GATE} - CASE WHEN len(list_distinct(list_concat(w, p))) > 0 AND len(list_intersect(w, p)) / CAST(len(list_distinct(list_concat(w, p))) AS DOUBLE) >= 0.5 AND p IS NOT NULL AND w IS NOT NULL THEN 3 ELSE 0 END AS score FROM u)
-SELECT CAST(score AS INTEGER) AS score, coalesce(score >= 3 AND length(trim(text)) >= 4, false) AS asks, count(*) AS n FROM s GROUP BY 1, 2""",
+v AS (SELECT *, lower(trim(coalesce(text, ''), ' ')) AS g FROM u), s AS (SELECT text, g, {_GATE} - CASE WHEN len(list_distinct(list_concat(w, p))) > 0 AND len(list_intersect(w, p)) / CAST(len(list_distinct(list_concat(w, p))) AS DOUBLE) >= 0.5 AND p IS NOT NULL AND w IS NOT NULL THEN 3 ELSE 0 END AS score FROM v)
+SELECT CAST(score AS INTEGER) AS score, (score >= 3 OR regexp_matches(g, '^/memory(\s|$)') OR contains(g, '{sessions.FORCED}')) AND length(g) >= 4 AND NOT contains(g, '<df-memory-context') AS asks, count(*) AS n FROM s GROUP BY 1, 2""",
     "evidence_counts": f"""WITH {PAGES}, {_keyword('ap', 'notes')}, e AS (SELECT unnest(list_filter([CASE WHEN t + b + tn + bn > 0 THEN 'keyword' END, CASE WHEN it THEN 'title' END, CASE WHEN ip THEN 'path' END, CASE WHEN ia THEN 'alias' END], lambda x: x IS NOT NULL)) AS tag FROM kw)
 SELECT tag, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM kw) AS DOUBLE), 6) AS share FROM e GROUP BY 1""",
     "repeats_dropped": """WITH b AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id FROM b WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 7200000000""",

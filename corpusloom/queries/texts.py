@@ -57,13 +57,13 @@ def postings_sizes(spark, d):
 
 def hash_embedding(spark, d):
     p = pages(spark, d)
-    v = V.hash_embedding(T.bigrams(F.lower(F.coalesce("title", F.lit("")))), 32)
+    v = V.hash_embedding(T.letter_pairs(F.coalesce("title", F.lit(""))), 32)
     return p.select("path", F.transform(v, lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 
 def text_hash_embedding(spark, d):
-    """The vector of every chunk's whole text, of the usual size."""
-    v = V.hash_embedding(T.bigrams(F.lower(F.coalesce("text", F.lit("")))))
+    """The vector of every chunk's whole text, of the size of the given vectors."""
+    v = V.hash_embedding(T.letter_pairs(F.coalesce("text", F.lit(""))), 64)
     return table(spark, d, "chunks").select("id", F.transform(v, lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 
@@ -92,7 +92,7 @@ def directory_overviews(spark, d):
 
 
 def lint(spark, d):
-    return maintenance.lint_summary(pages(spark, d))
+    return maintenance.lint_summary(pages(spark, d)).select("issue", "n", F.array_join("sample", "\n").alias("sample"))
 
 
 def exact_copies(spark, d):
@@ -156,10 +156,10 @@ SELECT term, count(DISTINCT path) AS n_pages, count(*) AS n_occurrences FROM w G
   SELECT brain_id, path, 'title' AS field, unnest({WORDS.format("coalesce(title, '')")}) AS term FROM cp
   UNION ALL SELECT brain_id, path, 'body_text', unnest({WORDS.format("coalesce(body_text, '')")}) FROM cp)
 SELECT brain_id, field, count(DISTINCT (term, path)) AS n, count(*) AS n_positions, count(DISTINCT term) AS n_terms FROM w GROUP BY 1, 2""",
-    "hash_embedding": rf"""WITH {PAGES}, t AS (SELECT path, regexp_replace(lower(coalesce(title, '')), '\s+', '', 'g') AS t FROM cp),
+    "hash_embedding": rf"""WITH {PAGES}, t AS (SELECT path, coalesce(title, '') AS t FROM cp),
 g AS (SELECT path, unnest(CASE WHEN length(t) = 1 THEN [t] ELSE list_transform(range(1, length(t)), lambda i: substr(t, i, 2)) END) AS g FROM t WHERE t <> ''),
-x AS (SELECT path, g, (xor(2166136261, CAST(ord(g) AS BIGINT)) * 16777619) & 4294967295 AS a FROM g), h AS (SELECT path, CASE WHEN length(g) = 2 THEN (xor(a, CAST(ord(substr(g, 2, 1)) AS BIGINT)) * 16777619) & 4294967295 ELSE a END AS h FROM x),
-s AS (SELECT path, h % 32 AS i, CAST(sum(CASE WHEN h % 2 = 0 THEN 1 ELSE -1 END) AS DOUBLE) AS s FROM h GROUP BY 1, 2), n AS (SELECT path, sqrt(sum(s * s)) AS n FROM s GROUP BY 1),
+x AS (SELECT path, g, (xor(2166136261, CAST(ord(g) AS BIGINT)) * 16777619) & 4294967295 AS a FROM g), h AS (SELECT path, g, CASE WHEN length(g) = 2 THEN (xor(a, CAST(ord(substr(g, 2, 1)) AS BIGINT)) * 16777619) & 4294967295 ELSE a END AS h FROM x),
+s AS (SELECT path, h % 32 AS i, CAST(sum(CASE WHEN h % 2 = 0 OR length(g) = 1 THEN 1 ELSE -1 END) AS DOUBLE) AS s FROM h GROUP BY 1, 2), n AS (SELECT path, sqrt(sum(s * s)) AS n FROM s GROUP BY 1),
 e AS (SELECT cp.path, r.range AS i FROM cp, range(32) r)
 SELECT e.path, list(round(CASE WHEN n > 0 THEN CAST(coalesce(s, 0) / n AS FLOAT)::DOUBLE ELSE 0 END, 4) ORDER BY e.i) AS vector FROM e LEFT JOIN s ON s.path = e.path AND s.i = e.i LEFT JOIN n ON n.path = e.path GROUP BY 1""",
     "wikilinks": rf"""WITH {PAGES} SELECT DISTINCT path, unnest(regexp_extract_all(body_text, '\[\[([^\]|\n]+)\]\]', 1)) AS to_ref FROM cp WHERE body_text IS NOT NULL""",
@@ -190,7 +190,7 @@ SELECT array_to_string(s[1:i], '/') AS dir, count(*) AS n_pages, count(DISTINCT
   SELECT 'no title' AS issue, path FROM cp WHERE trim(coalesce(title, '')) = '' UNION ALL SELECT 'no body', path FROM cp WHERE trim(coalesce(body_text, '')) = ''
   UNION ALL SELECT 'no type', path FROM cp WHERE schema_type IS NULL UNION ALL SELECT 'no source', path FROM cp WHERE source_id IS NULL
   UNION ALL SELECT 'wrong brain', path FROM cp WHERE NOT starts_with(path, 'brains/' || brain_id || '/'))
-SELECT issue, count(*) AS n, min(path) AS first_path FROM f GROUP BY 1""",
+SELECT issue, count(*) AS n, array_to_string(list_slice(list_sort(list(path)), 1, 10), chr(10)) AS sample FROM f GROUP BY 1""",
     "exact_copies": f"""WITH h AS (SELECT doc_id, CASE WHEN coalesce({FLAT.format('text')}, '') = '' THEN '#' || doc_id ELSE md5(lower({FLAT.format('text')})) END AS h FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PARTITION BY h) AS n FROM h""",
     "page_facts": f"WITH {_FACTS} SELECT path, count(*) AS n_facts, min(t) AS least FROM (SELECT path, unnest(fs) AS t FROM f) GROUP BY 1",

@@ -112,9 +112,24 @@ def test_trends(spark):
     assert got["zero"] == ("regressing", pytest.approx(1.0)) and "bad" not in got
 
 
+def test_gate_cases(spark):
+    rows = [("以前怎么做", 0, False), ("再试一次", 0, False), ("实现 ErrorCodes 新码", 0, False), ("hi", 0, False), ('<df-memory-context query="x">以前怎么做</df-memory-context> 继续', 0, False), ("随便写点", 0, True), ("/memory retry queue", 0, False), ("请查一下记忆", 0, False), ("timeout again here", 2, False), ("an error in api", 2, False), ("an error in api", 0, False), ("what is love", 0, False), (None, 0, True)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, fails int, start boolean")
+    got = df.withColumn("s", sessions.gate_score(F.col("t"), F.col("fails"))).select("i", sessions.gate_command(F.col("t"), F.col("s"), F.col("fails"), F.col("start")).alias("c")).orderBy("i").collect()
+    assert [r["c"] for r in got] == ["find", None, "think", None, None, "think", "find", "find", None, "think", None, None, None]
+
+
+def test_link_types():
+    got = linking.links_in("张三负责[支付](p/a.md)。" + "x" * 50 + "[web](https://x.y) [me](mailto:a) [up](#top) ![img](i.png)" + "x" * 50 + "[[a/b]] " + "x" * 60 + " @lee founded it", '{"links": [{"to": "a/b"}, {"to": "z", "type": "advises"}, {"to": " "}, 3]}')
+    assert got == [("p/a.md", "works_on", "markdown"), ("a/b", "references", "wikilink"), ("lee", "founded", "mention"), ("z", "advises", "frontmatter")]
+    for text, kind in (("A decided [[B]]", "decided"), ("产出 [[B]]", "produced_by"), ("works  on [[B]]", "works_on"), ("属于 [[B]]", "belongs_to"), ("works_at [[B]]", "works_at"), ("创办 [[B]]", "founded"), ("invested in [[B]]", "invested_in"), ("顾问 [[B]]", "advises"), ("see [[B]]", "mentions"), ("decided and works on [[B]]", "decided")):
+        assert linking.links_in(text) == [("B", kind, "wikilink")]
+    assert linking.links_in("open ``` [[a]]", "{") == [("a", "mentions", "wikilink")] and linking.links_in("", "[]") == []
+
+
 def test_links():
     text = "see [t](a/b.md) and [[a/b]] [[Name]] @who mail@x.y `[[code]]`\n```\n[[fence]]\n```"
-    assert [(to, s) for to, _, s in linking.links_in(text)] == [("a/b.md", "markdown"), ("a/b", "wikilink"), ("Name", "wikilink"), ("who", "mention")]
+    assert [(to, s) for to, _, s in linking.links_in(text)] == [("a/b.md", "markdown"), ("a/b", "wikilink"), ("Name", "wikilink"), ("who", "mention"), ("x", "mention")]
     assert linking.without_code("a `b` c") == "a     c" and linking.links_in("") == []
     assert linking.linkified("Ann Lee met Ann, @Ann and Annie", [("Ann", "ann"), ("Ann Lee", "ann-lee")]) == "@ann-lee met @ann, @Ann and Annie"
 

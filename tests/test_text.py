@@ -104,6 +104,11 @@ def test_hash_embedding(spark):
         assert v == pytest.approx(fnv_vector(grams, 16), abs=1e-6)
 
 
+def test_embedding_of_one_letter(spark):
+    got = column(spark, ["a", "b", "支", "ab", "a b"], V.hash_embedding(T.letter_pairs(F.col("t"))))
+    assert len(got[0]) == 384 and [sum(v) for v in got[:3]] == [1.0, 1.0, 1.0] and got[4] != got[3]
+
+
 def test_cosine_edges(spark):
     df = spark.createDataFrame([([1.0, 0.0], [2.0, 0.0]), ([1.0], [1.0, 2.0]), ([0.0, 0.0], [1.0, 1.0]), ([], []), (None, [1.0]), ([float("nan"), 1.0], [1.0, 1.0])], "a array<float>, b array<float>")
     assert [r[0] for r in df.select(V.cosine(F.col("a"), F.col("b"))).collect()] == pytest.approx([1.0, 0, 0, 0, 0, 0])
