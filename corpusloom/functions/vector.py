@@ -39,9 +39,10 @@ def hash_embedding(grams: Column, dims: int = 384) -> Column:
         letters = F.filter(F.split(g, ""), lambda c: c != "")
         return F.aggregate(letters, F.lit(FNV_START).cast("long"), lambda h, c: (h.bitwiseXOR(F.ascii(c)) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
-    single = (F.size(grams) == 1) & (F.length(grams[0]) == 1)
     # place and sign of every gram, then one sum per place, then the length; each worked out once
-    at = F.transform(F.transform(grams, hashed), lambda h: F.struct((h % dims).alias("i"), F.when((h % 2 == 0) | single, 1.0).otherwise(-1.0).alias("s")))
+    signed = F.transform(F.transform(grams, hashed), lambda h: F.struct((h % dims).alias("i"), F.when(h % 2 == 0, 1.0).otherwise(-1.0).alias("s")))
+    single = (F.size(grams) == 1) & (F.length(grams[0]) == 1)
+    at = F.when(single, F.transform(F.transform(grams, hashed), lambda h: F.struct((h % dims).alias("i"), F.lit(1.0).alias("s")))).otherwise(signed)
     places = F.sequence(F.lit(0), F.lit(dims - 1))
     raw = let(at, lambda a: F.transform(places, lambda i: F.aggregate(F.filter(a, lambda p: p["i"] == i), F.lit(0.0), lambda s, p: s + p["s"])))
 
