@@ -31,11 +31,16 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
     return spark
 
 
+def named_folder(master: str, named: str | None) -> str:
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where one machine is all there is."""
+    if not named and not master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="spark-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in spark.checkpoint.dir; only where it is unset, as in tests, a temporary one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        spark.sparkContext.setCheckpointDir(named_folder(spark.sparkContext.master, spark.conf.get("spark.checkpoint.dir", None)))
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:

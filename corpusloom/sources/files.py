@@ -6,7 +6,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FRONT = r"(?s)^\x{FEFF}?---\r?\n(.*?)\r?\n---\r?\n?(.*)$"
@@ -67,12 +67,23 @@ def pages_of(files: DataFrame) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value, error): the objects of a JSON lines file or of a JSON array. Blank lines and a byte order mark don't count."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", r"^\x{FEFF}", "").alias("all"))
-    array = F.ltrim("all").startswith("[")
-    items = F.when(array, F.from_json("all", "array<string>")).otherwise(F.split("all", r"\r?\n"))
-    rows = text.select(F.posexplode(items).alias("i", "value")).where(F.trim("value") != "")
-    return with_errors(rows.select((F.col("i") + 1).alias("line"), "value"))
+    """(line, value, error): the objects of JSON lines files or of a JSON array. Blank lines and a byte order mark don't count.
+
+    Lines are read in splits, so a file of any size is many tasks; numbers follow from the counts of the splits before. A JSON array
+    is one value, and is read as one.
+    """
+    unmarked = F.regexp_replace("value", r"^\x{FEFF}", "")
+    lines = spark.read.text(path).select(unmarked.alias("value"), F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    head = lines.where(F.trim("value") != "").select("value").first()
+    if head and head[0].lstrip().startswith("["):
+        text = spark.read.text(path, wholetext=True).select(unmarked.alias("all"))
+        rows = text.select(F.posexplode(F.from_json("all", "array<string>")).alias("i", "value")).select((F.col("i") + 1).alias("line"), "value")
+    else:
+        splits = lines.groupBy("_f", "_b").agg(F.min("_i").alias("_first"), F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("_f").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        rows = lines.join(splits, ["_f", "_b"]).select((F.col("_before") + F.col("_i") - F.col("_first") + 1).alias("line"), F.regexp_replace("value", r"\r$", "").alias("value"))
+    return with_errors(rows.where(F.trim("value") != ""))
 
 
 def with_errors(rows: DataFrame, value: str = "value") -> DataFrame:

@@ -176,6 +176,29 @@ def test_json_lines(spark, tmp_path):
         files.split_rejects(files.turns_of(rows), fail_fast=True)[0].collect()
 
 
+def test_json_lines_in_splits(spark, tmp_path):
+    """A file of many splits: every line once, with its number."""
+    (tmp_path / "big.jsonl").write_text("\n".join("" if i % 10 == 9 else f'{{"role": "user", "text": "{i}"}}' for i in range(5000)), encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = files.json_lines(spark, str(tmp_path / "big.jsonl"))
+        assert spark.read.text(str(tmp_path / "big.jsonl")).rdd.getNumPartitions() > 4
+        got = {r["line"]: r["text"] for r in files.turns_of(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == {i + 1: str(i) for i in range(5000) if i % 10 != 9}
+
+
+def test_a_cluster_names_its_checkpoint_folder():
+    from corpusloom.session import named_folder
+
+    assert named_folder("yarn", "hdfs://x/y") == named_folder("local[2]", "hdfs://x/y") == "hdfs://x/y" and named_folder("local[2]", None).startswith("/")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        named_folder("spark://host:7077", None)
+
+
 def test_extractor_errors_are_rows(spark):
     def extractor(text):
         if text == "bad":
