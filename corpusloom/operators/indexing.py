@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
 
+POSTING_BUCKETS = 64
+
 
 def chunk_table(pages: DataFrame, text: str = "body_text", key: str = "path") -> DataFrame:
     """(id, key, chunk_index, text): the pieces of every page, in place."""
@@ -14,8 +16,7 @@ def chunk_table(pages: DataFrame, text: str = "body_text", key: str = "path") ->
 
 
 def postings(pages: DataFrame) -> DataFrame:
-    """(brain_id, term, field, path, positions): the inverted index. Written once, partitioned by brain and sorted by term, it
-    makes a query read its own terms only."""
+    """(brain_id, term, field, path, positions): the inverted index; ``write_postings`` keeps it."""
 
     def of(field: str) -> DataFrame:
         return pages.select("brain_id", "path", F.lit(field).alias("field"), F.posexplode(T.words(F.coalesce(field, F.lit("")))).alias("pos", "term"))
@@ -24,6 +25,22 @@ def postings(pages: DataFrame) -> DataFrame:
     return both.groupBy("brain_id", "term", "field", "path").agg(F.array_sort(F.collect_list(F.col("pos") + 1)).alias("positions"))
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def write_postings(pages: DataFrame, path: str) -> None:
+    """Write the inverted index once: a folder per bucket of terms, sorted by term, so that a query reads its own terms only."""
+    p = postings(pages).withColumn("bucket", _bucket(F.col("term")))
+    p.repartitionByRange("bucket", "term", "path").sortWithinPartitions("bucket", "term", "path").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """The postings of ``terms``: other buckets aren't opened, and the files of a bucket are skipped by their ranges of terms."""
+    p = spark.read.parquet(path)
+    return p.where(F.col("bucket").isin([_bucket(F.lit(t)) for t in terms]) & F.col("term").isin(terms)).drop("bucket")
+
+
 def term_statistics(pages: DataFrame) -> DataFrame:
     """(term, n_pages, n_occurrences) over all pages; counted before the shuffle."""
     w = pages.select(F.explode(T.words(F.col("body_text"))).alias("term"), "path")

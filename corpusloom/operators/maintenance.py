@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.operators.skew import hot_keys, salted_join
 
+#: Fixed value: characters that the beginnings of two facts are compared by.
+FACT_HEAD = 40
+
 
 def lint(pages: DataFrame) -> DataFrame:
     """(path, issue): pages without a title, body, type or source, or outside their brain."""
@@ -53,6 +56,17 @@ def contradicting_numbers(pages: DataFrame) -> DataFrame:
     return g.where("n_values > 1 and n_pages > 1")
 
 
+def pairs_of_facts(facts_: DataFrame) -> DataFrame:
+    """(path, i, j): facts of one page that may contradict: one holds the other, or both begin with the same FACT_HEAD characters.
+
+    From (path, fact_index, text). A page states few facts, so its pairs are looked at within its own row of the join.
+    """
+    f = facts_.select("path", "fact_index", F.lower(F.trim("text")).alias("t")).where("t <> ''")
+    a, b = f.toDF("path", "i", "a"), f.toDF("path", "j", "b")
+    alike = F.contains("a", F.col("b")) | F.contains("b", F.col("a")) | (F.substring("a", 1, FACT_HEAD) == F.substring("b", 1, FACT_HEAD))
+    return a.join(b, "path").where((F.col("i") < F.col("j")) & alike).select("path", "i", "j")
+
+
 def exact_copies(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, class_id, n): every document with the least id of those that have the same normalised text; empty ones stay alone."""
     h = F.when(F.coalesce(T.collapsed(F.col(text)), F.lit("")) == "", F.concat(F.lit("#"), F.col(key).cast("string"))).otherwise(F.md5(F.lower(T.collapsed(F.col(text)))))

@@ -59,6 +59,12 @@ def event_list(spark, d):
     return statistics.event_list(table(spark, d, "events"), type_="click", since="2024-01-10 00:00:00").select("event_id", "user_id", "event_type")
 
 
+def event_by_id(spark, d):
+    """The event that a diff names: the id is a filter at the scan, over all months."""
+    e = table(spark, d, "events")
+    return e.where("event_id = 4711 or event_id = 47").select("event_id", "user_id", "event_type", F.round("value", 4).alias("value"))
+
+
 def event_sources(spark, d):
     """Events and their payload keys per type and month."""
     e = table(spark, d, "events").withColumn("month", F.date_format("ts", "yyyy-MM"))
@@ -199,7 +205,7 @@ def purged_pages(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        session_buffers, session_windows, truncated_turns, clean_turns, latest_status, recall_gate, gate_scores, repeats_dropped, hourly_events, event_list, event_sources, query_statistics, tokens_by_day, trend, trend_by_user,
+        session_buffers, session_windows, truncated_turns, clean_turns, latest_status, recall_gate, gate_scores, repeats_dropped, hourly_events, event_list, event_by_id, event_sources, query_statistics, tokens_by_day, trend, trend_by_user,
         evidence_counts, outcome_fold, undistilled, crystallized, boot_experiences, find_pages, sync_plan, synced_pages, unique_links, new_items, resolved_records, alias_conflicts, record_mentions, merged_records, name_counts, flush_batches,
         session_prompts, pruned_sessions, purged_pages,
     )
@@ -243,6 +249,7 @@ SELECT tag, count(*) AS n, round(count(*) / CAST((SELECT count(*) FROM kw) AS DO
     "repeats_dropped": """WITH b AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id FROM b WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > 7200000000""",
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "event_list": "SELECT event_id, user_id, event_type FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-10' ORDER BY ts DESC, event_id DESC LIMIT 50",
+    "event_by_id": "SELECT event_id, user_id, event_type, round(value, 4) AS value FROM events WHERE event_id IN (4711, 47)",
     "event_sources": "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2",
     "query_statistics": """SELECT count(*) AS n_queries, round(CAST(sum(CASE WHEN floor(value / 10) = 0 THEN 1 ELSE 0 END) AS DOUBLE) / count(*), 6) AS zero_rate, round(avg(value), 4) AS avg_score,
   round(avg(CASE WHEN event_id % 3 = 0 THEN value * 2 END), 4) AS avg_latency_ms FROM events""",

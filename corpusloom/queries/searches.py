@@ -8,7 +8,7 @@ from corpusloom.functions import vector as V
 from corpusloom.operators import fusion as X
 from corpusloom.operators import graph, indexing, keyword, semantic
 from corpusloom.plans import search
-from corpusloom.session import stored
+from corpusloom.session import is_stored, shared_path, stored
 from corpusloom.queries.common import BASE, FLAT, NOW, PAGES, PREFIX, RECORDS, WORDS, active, pages, records
 from corpusloom.tables import table
 
@@ -16,6 +16,7 @@ QUERY = "retry queue"
 #: A part of many names, and a word that many pages hold.
 ENTITY = "data systems"
 SIGNALS = "queue"
+_INDEX: dict[tuple[str, str], str] = {}
 
 
 def kw_search_topk(spark, d):
@@ -36,8 +37,24 @@ def kw_filters(spark, d):
     return keyword.keyword_search(p, "decision", 20).select("path", F.round("score", 6).alias("score"))
 
 
+def _postings(spark, d) -> str:
+    """Where the inverted index of the readable pages lies: written by the first query of a session that asks for it."""
+    key = (spark.sparkContext.applicationId, d)
+    if not is_stored(_INDEX.get(key, "")):
+        _INDEX[key] = shared_path(spark)
+        indexing.write_postings(active(spark, d), _INDEX[key])
+    return _INDEX[key]
+
+
 def indexed_search(spark, d):
-    return keyword.indexed_search(indexing.postings(active(spark, d)), QUERY, 20).select("path", F.round("score", 6).alias("score"))
+    p = indexing.read_postings(spark, _postings(spark, d), keyword.query_words(QUERY))
+    return keyword.indexed_search(p, QUERY, 20).select("path", F.round("score", 6).alias("score"))
+
+
+def indexed_search_rare(spark, d):
+    """Another query of the same session: it reads the index that is there."""
+    p = indexing.read_postings(spark, _postings(spark, d), keyword.query_words(SIGNALS))
+    return keyword.indexed_search(p, SIGNALS, 20).select("path", F.round("score", 6).alias("score"))
 
 
 def expanded_search(spark, d):
@@ -171,7 +188,7 @@ def asked_entity_boost(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        kw_search_topk, kw_search_all, kw_search_zh, kw_filters, indexed_search, expanded_search, vector_topk, vector_maxpool, label_search, graph_bfs, link_degrees, orphans, rrf_fuse, hub_signal, cross_source_signal, diversify,
+        kw_search_topk, kw_search_all, kw_search_zh, kw_filters, indexed_search, indexed_search_rare, expanded_search, vector_topk, vector_maxpool, label_search, graph_bfs, link_degrees, orphans, rrf_fuse, hub_signal, cross_source_signal, diversify,
         hotness, directory_order, local_rerank, entity_boost, asked_entity_boost, hybrid_search, think, tie_order,
     )
 }
@@ -271,6 +288,9 @@ n AS (SELECT *, CASE WHEN instr(lower(f), '{QUERY}') > 40 THEN instr(lower(f), '
 SELECT path, round(score, 6) AS score, array_to_string(list_filter([CASE WHEN t + b + tn + bn > 0 THEN 'keyword' END, CASE WHEN it THEN 'title' END, CASE WHEN ip THEN 'path' END, CASE WHEN ia THEN 'alias' END], lambda x: x IS NOT NULL), ',') AS evidence, {_SNIP} AS snippet FROM n""",
     "kw_filters": f"""WITH {PAGES}, fp AS (SELECT * FROM ap WHERE brain_id = 'default' AND schema_type NOT IN ('lesson') AND NOT ends_with(path, '.overview.md') AND NOT ends_with(path, '.abstract.md')
   AND (source_id IN ('main', 'wiki') OR regexp_matches(path, '/(experiences|skills)/'))), {_keyword('fp', 'decision')} SELECT path, round(score, 6) AS score FROM kw ORDER BY round(score, 9) DESC, path LIMIT 20""",
+    "indexed_search_rare": f"""WITH {PAGES}, {_rank('title', keyword.query_words(SIGNALS), 'rt').replace('FROM src', 'FROM ap')}, {_rank('body_text', keyword.query_words(SIGNALS), 'rb').replace('FROM src', 'FROM ap')},
+u AS (SELECT path, 3.0 * r AS r FROM rt UNION ALL SELECT path, r FROM rb)
+SELECT path, round(score, 6) AS score FROM (SELECT path, sum(r) AS score FROM u GROUP BY 1) WHERE score > 0 ORDER BY round(score, 9) DESC, path LIMIT 20""",
     "indexed_search": f"""WITH {PAGES}, {_rank('title', keyword.query_words(QUERY), 'rt').replace('FROM src', 'FROM ap')}, {_rank('body_text', keyword.query_words(QUERY), 'rb').replace('FROM src', 'FROM ap')},
 u AS (SELECT path, 3.0 * r AS r FROM rt UNION ALL SELECT path, r FROM rb)
 SELECT path, round(score, 6) AS score FROM (SELECT path, sum(r) AS score FROM u GROUP BY 1) WHERE score > 0 ORDER BY round(score, 9) DESC, path LIMIT 20""",

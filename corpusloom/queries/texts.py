@@ -119,6 +119,11 @@ def contradicting_numbers(spark, d):
     return maintenance.contradicting_numbers(docs)
 
 
+def fact_pairs(spark, d):
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("path"), F.col("text").alias("body_text"))
+    return maintenance.pairs_of_facts(maintenance.facts(docs)).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def token_estimates(spark, d):
     t = table(spark, d, "documents").where("text is not null")
     return t.groupBy("source").agg(F.sum(T.estimated_tokens(F.col("text"))).cast("long").alias("tokens"), F.count(F.lit(1)).alias("n"))
@@ -128,7 +133,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         bigram_tokens, text_bigram_tokens, snippets, slug_paths, new_paths, content_hashes, chunk_text, term_statistics, postings_sizes, hash_embedding, text_hash_embedding, wikilinks, extracted_links, page_issues, layers, directory_tree, directory_overviews, lint,
-        exact_copies, page_facts, sourced_facts, repeated_facts, contradicting_numbers, token_estimates,
+        exact_copies, page_facts, sourced_facts, repeated_facts, contradicting_numbers, fact_pairs, token_estimates,
     )
 }
 
@@ -199,6 +204,9 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id, count(*) OVER (PAR
     "contradicting_numbers": rf"""WITH {_FACTS}, k AS (SELECT path, lower({FLAT.format('t')}) AS t FROM (SELECT path, unnest(fs) AS t FROM f)),
 g AS (SELECT path, t, regexp_replace(t, '[0-9]+([.,][0-9]+)*', '#', 'g') AS key FROM k)
 SELECT key, count(DISTINCT t) AS n_values, count(DISTINCT path) AS n_pages FROM g WHERE contains(key, '#') GROUP BY 1 HAVING count(DISTINCT t) > 1 AND count(DISTINCT path) > 1""",
+    "fact_pairs": f"""WITH {_FACTS}, k AS (SELECT path, unnest(fs) AS t, generate_subscripts(fs, 1) - 1 AS i FROM f), l AS (SELECT path, lower(trim(t)) AS t, i FROM k WHERE trim(t) <> ''),
+p AS (SELECT a.path, a.i, b.i AS j FROM l a JOIN l b ON a.path = b.path AND a.i < b.i WHERE contains(a.t, b.t) OR contains(b.t, a.t) OR substr(a.t, 1, 40) = substr(b.t, 1, 40))
+SELECT path, count(*) AS n FROM p GROUP BY 1""",
     "token_estimates": "SELECT source, CAST(sum(greatest(1, ceil(length(text) / 4))) AS BIGINT) AS tokens, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1",
     "content_hashes": """SELECT doc_id, sha256('{"title":' || to_json(coalesce(title, '')) || ',"type":' || to_json(coalesce(schema_type, '')) || '}' || chr(10) || coalesce(text, '')) AS hash FROM documents""",
 }

@@ -49,14 +49,23 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like ``cut``, but a compressed table in the shared folder; ``forget_stored`` removes these."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; ``forget_stored`` removes what lies there."""
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _STORED.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like ``cut``, but a compressed table in the shared folder; ``forget_stored`` removes these."""
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_stored(path: str) -> bool:
+    return path in _STORED
 
 
 def forget_stored(spark: SparkSession) -> None:

@@ -191,6 +191,24 @@ def test_json_lines_in_splits(spark, tmp_path):
     assert got == {i + 1: str(i) for i in range(5000) if i % 10 != 9}
 
 
+def test_postings_are_read_by_term(spark, tmp_path):
+    from corpusloom.operators import indexing
+
+    pages = spark.createDataFrame([("b", f"p{i}", "retry" if i % 2 else "x", f"word{i} queue") for i in range(40)], "brain_id string, path string, title string, body_text string")
+    indexing.write_postings(pages, str(tmp_path / "idx"))
+    got = indexing.read_postings(spark, str(tmp_path / "idx"), ["retry", "word7", "none"])
+    assert {(r["term"], r["path"]) for r in got.collect()} == {("retry", f"p{i}") for i in range(1, 40, 2)} | {("word7", "p7")}
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan or "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:80]
+
+
+def test_pairs_of_facts(spark):
+    from corpusloom.operators import maintenance
+
+    f = spark.createDataFrame([(1, 0, "Limit is 5"), (1, 1, "the limit is 5 today"), (1, 2, " "), (1, 3, "y" * 45 + "a"), (1, 4, "Y" * 45 + "b"), (2, 0, "limit is 5"), (2, 1, None)], "path int, fact_index int, text string")
+    assert {tuple(r) for r in maintenance.pairs_of_facts(f).collect()} == {(1, 0, 1), (1, 3, 4)}
+
+
 def test_a_cluster_names_its_checkpoint_folder():
     from corpusloom.session import named_folder
 
