@@ -296,7 +296,6 @@ def q_grams(name: str) -> set[str]:
     """Padded q-grams of every word, nicknames written out; the order of words doesn't matter."""
     out = set()
     for w in canonical(name.replace(".", "").split()):
-        w = FULL_SOUND.get(sound(w), sound(w))
         p = f"^{w}$"
         out |= {p[i : i + Q] for i in range(len(p) - Q + 1)}
     return out
