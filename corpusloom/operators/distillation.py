@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.functions import vector as V
+from corpusloom.operators.semantic import batch_vector_search
 
 #: What an outcome does to an experience, and when one is mature.
 SUCCESS, FAILURE, START = 0.1, -0.2, 0.5
@@ -90,6 +92,27 @@ def extracted(windows: DataFrame, extractor: Callable[[str], list[dict]]) -> Dat
     return windows.select("session_id", "window", "text").mapInPandas(run, "session_id string, window int, type string, title string, body string")
 
 
+def contract_json(text: Column) -> Column:
+    """The JSON object of an extractor's answer: what a code fence or else the outermost braces hold; null if that is no object."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    body = F.when(fenced != "", fenced).otherwise(F.regexp_extract(text, r"(?s)\{.*\}", 0))
+    alone = F.concat(F.lit("["), body, F.lit("]"))  # the parser would take a first object and leave the rest
+    return F.when((body != "") & F.try_parse_json(alone).isNotNull() & (F.json_array_length(alone) == 1), body)
+
+
+def recent_duplicates(new: DataFrame, existing: DataFrame, key: str, text: str, at: str, most: int = 200, least: float = 0.95) -> DataFrame:
+    """(key, duplicate_of, score): items of ``new`` whose text is most similar to one of the ``most`` latest of ``existing``, by the cosine of
+    their hash embeddings, if that is ``least`` or more.
+
+    The window is the feature: an item is held against the latest ones only, so that side is small, and any number of new items
+    passes by it in batches.
+    """
+    vector = V.hash_embedding(T.letter_pairs(F.coalesce(text, F.lit(""))))
+    recent = existing.select(key, text, at).orderBy(F.desc(at), key).limit(most)
+    found = batch_vector_search(recent.select(F.col(key).alias("path"), vector.alias("embedding")), new.select(F.col(key).alias("query_id"), vector.alias("vector")), 1)
+    return found.where(F.col("score") >= least).select(F.col("query_id").alias(key), F.col("path").alias("duplicate_of"), "score")
+
+
 def first_of_each(items: DataFrame, order: str, existing: DataFrame | None = None) -> DataFrame:
     """Items (title, body, …) whose normalised text is new: not in ``existing`` and the first of its kind by ``order``."""
     rest = [c for c in items.columns if c != order]

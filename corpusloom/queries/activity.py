@@ -161,6 +161,19 @@ def new_items(spark, d):
     return distillation.first_of_each(t, "doc_id").select("doc_id")
 
 
+def recent_duplicates(spark, d):
+    """Documents, by their titles, that repeat one of the 200 latest of source ``inbox-main``."""
+    every = table(spark, d, "documents").where("title is not null")
+    latest = every.where("source = 'inbox-main'")
+    return distillation.recent_duplicates(every.where("source is null or source <> 'inbox-main'"), latest, "doc_id", "title", "created_at").select("doc_id", "duplicate_of", F.round("score", 5).alias("score"))
+
+
+def contract_titles(spark, d):
+    """Documents that hold a JSON object, as an extractor's answer does, with its title."""
+    j = distillation.contract_json(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", j.alias("j")).where("j is not null").select("doc_id", F.get_json_object("j", "$.title").alias("title"))
+
+
 def resolved_records(spark, d):
     return records.resolved(current(spark, d))
 
@@ -206,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         session_buffers, session_windows, truncated_turns, clean_turns, latest_status, recall_gate, gate_scores, repeats_dropped, hourly_events, event_list, event_by_id, event_sources, query_statistics, tokens_by_day, trend, trend_by_user,
-        evidence_counts, outcome_fold, undistilled, crystallized, boot_experiences, find_pages, sync_plan, synced_pages, unique_links, new_items, resolved_records, alias_conflicts, record_mentions, merged_records, name_counts, flush_batches,
+        evidence_counts, outcome_fold, undistilled, crystallized, boot_experiences, find_pages, sync_plan, synced_pages, unique_links, new_items, recent_duplicates, contract_titles, resolved_records, alias_conflicts, record_mentions, merged_records, name_counts, flush_batches,
         session_prompts, pruned_sessions, purged_pages,
     )
 }
@@ -279,6 +292,8 @@ FROM co o FULL JOIN cp n ON o.path = n.path""",
     "unique_links": "SELECT id, min(synced_at) AS synced_at, arg_min(type, synced_at) AS type FROM links GROUP BY 1",
     "new_items": r"""WITH t AS (SELECT doc_id, lower(trim(regexp_replace(coalesce(title, '') || ' ' || coalesce(nullif(regexp_extract(text, '(?s)##\s*正文\s*\n(.*)', 1), ''), text), '[\s\p{Z}]+', ' ', 'g'))) AS k FROM documents WHERE text IS NOT NULL)
 SELECT min(doc_id) AS doc_id FROM t GROUP BY k""",
+    "contract_titles": r"""WITH b AS (SELECT doc_id, coalesce(nullif(regexp_extract(text, '```(?:json)?\s*(\{.*?\})\s*```', 1, 's'), ''), regexp_extract(text, '\{.*\}', 0, 's')) AS j FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, json_extract_string(j, '$.title') AS title FROM b WHERE j <> '' AND json_valid(j)""",
     "resolved_records": f"WITH {RECORDS}, {_RES} SELECT brain_id, slug, target, steps FROM two",
     "alias_conflicts": f"WITH {RECORDS}, {_NAMES} SELECT brain_id, name, count(DISTINCT slug) AS n, min(slug) AS least_slug FROM nm WHERE status = 'active' GROUP BY 1, 2 HAVING count(DISTINCT slug) > 1",
     "record_mentions": f"""WITH {RECORDS}, {_NAMES}, n AS (SELECT brain_id, name, min(slug) AS slug FROM nm GROUP BY 1, 2),

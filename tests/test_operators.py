@@ -209,6 +209,20 @@ def test_pairs_of_facts(spark):
     assert {tuple(r) for r in maintenance.pairs_of_facts(f).collect()} == {(1, 0, 1), (1, 3, 4)}
 
 
+def test_recent_duplicates(spark):
+    old = spark.createDataFrame([(f"o{i}", t, datetime(2026, 1, 1 + i)) for i, t in enumerate(["the retry queue was slow on monday", "far too old to count", "支付超时重试策略", None])], "id string, title string, at timestamp")
+    new = spark.createDataFrame([("n1", "the retry queue was slow on Monday", datetime(2026, 2, 1)), ("n2", "something else entirely", None), ("n3", "支付超时重试策略", None), ("n4", None, None)], "id string, title string, at timestamp")
+    got = {(r["id"], r["duplicate_of"]) for r in distillation.recent_duplicates(new, old, "id", "title", "at", 4, 0.9).collect()}
+    assert got == {("n1", "o0"), ("n3", "o2")}
+    assert {r["id"] for r in distillation.recent_duplicates(new, old, "id", "title", "at", 2, 0.9).collect()} == {"n3"} and distillation.recent_duplicates(new, old.limit(0), "id", "title", "at").count() == 0
+
+
+def test_contract_json(spark):
+    texts = ['say {"title": "a"} done', '```json\n{"title": "b"}\n``` and {', "no braces", "{broken", None, "} {", '{"a": {"b": 1}} x']
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", distillation.contract_json(F.col("t")).alias("j")).orderBy("i").collect()
+    assert [r["j"] for r in got] == ['{"title": "a"}', '{"title": "b"}', None, None, None, None, '{"a": {"b": 1}}']
+
+
 def test_a_cluster_names_its_checkpoint_folder():
     from corpusloom.session import named_folder
 
