@@ -101,8 +101,8 @@ def contract_json(text: Column) -> Column:
 
 
 def recent_duplicates(new: DataFrame, existing: DataFrame, key: str, text: str, at: str, most: int = 200, least: float = 0.95) -> DataFrame:
-    """(key, duplicate_of, score): items of ``new`` whose text is most similar to one of the ``most`` latest of ``existing``, by the cosine of
-    their hash embeddings, if that is ``least`` or more.
+    """(key, nearest, score, repeats): for every item of ``new`` the one of the ``most`` latest of ``existing`` whose text is most similar,
+    by the cosine of their hash embeddings; it repeats that one from ``least`` on.
 
     The window is the feature: an item is held against the latest ones only, so that side is small, and any number of new items
     passes by it in batches.
@@ -110,7 +110,7 @@ def recent_duplicates(new: DataFrame, existing: DataFrame, key: str, text: str,
     vector = V.hash_embedding(T.letter_pairs(F.coalesce(text, F.lit(""))))
     recent = existing.select(key, text, at).orderBy(F.desc(at), key).limit(most)
     found = batch_vector_search(recent.select(F.col(key).alias("path"), vector.alias("embedding")), new.select(F.col(key).alias("query_id"), vector.alias("vector")), 1)
-    return found.where(F.col("score") >= least).select(F.col("query_id").alias(key), F.col("path").alias("duplicate_of"), "score")
+    return found.select(F.col("query_id").alias(key), F.col("path").alias("nearest"), "score", (F.col("score") >= least).alias("repeats"))
 
 
 def first_of_each(items: DataFrame, order: str, existing: DataFrame | None = None) -> DataFrame:

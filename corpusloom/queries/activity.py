@@ -162,10 +162,10 @@ def new_items(spark, d):
 
 
 def recent_duplicates(spark, d):
-    """Documents, by their titles, that repeat one of the 200 latest of source ``inbox-main``."""
+    """Documents, by their titles, against the 200 latest of source ``inbox-main``."""
     every = table(spark, d, "documents").where("title is not null")
     latest = every.where("source = 'inbox-main'")
-    return distillation.recent_duplicates(every.where("source is null or source <> 'inbox-main'"), latest, "doc_id", "title", "created_at").select("doc_id", "duplicate_of", F.round("score", 5).alias("score"))
+    return distillation.recent_duplicates(every.where("source is null or source <> 'inbox-main'"), latest, "doc_id", "title", "created_at").select("doc_id", "nearest", F.round("score", 5).alias("score"), "repeats")
 
 
 def contract_titles(spark, d):

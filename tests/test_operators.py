@@ -212,9 +212,10 @@ def test_pairs_of_facts(spark):
 def test_recent_duplicates(spark):
     old = spark.createDataFrame([(f"o{i}", t, datetime(2026, 1, 1 + i)) for i, t in enumerate(["the retry queue was slow on monday", "far too old to count", "支付超时重试策略", None])], "id string, title string, at timestamp")
     new = spark.createDataFrame([("n1", "the retry queue was slow on Monday", datetime(2026, 2, 1)), ("n2", "something else entirely", None), ("n3", "支付超时重试策略", None), ("n4", None, None)], "id string, title string, at timestamp")
-    got = {(r["id"], r["duplicate_of"]) for r in distillation.recent_duplicates(new, old, "id", "title", "at", 4, 0.9).collect()}
+    repeats = lambda most: distillation.recent_duplicates(new, old, "id", "title", "at", most, 0.9).where("repeats").collect()
+    got = {(r["id"], r["nearest"]) for r in repeats(4)}
     assert got == {("n1", "o0"), ("n3", "o2")}
-    assert {r["id"] for r in distillation.recent_duplicates(new, old, "id", "title", "at", 2, 0.9).collect()} == {"n3"} and distillation.recent_duplicates(new, old.limit(0), "id", "title", "at").count() == 0
+    assert {r["id"] for r in repeats(2)} == {"n3"} and distillation.recent_duplicates(new, old, "id", "title", "at").count() == 4 and distillation.recent_duplicates(new, old.limit(0), "id", "title", "at").count() == 0
 
 
 def test_contract_json(spark):
